@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A text with more copies than this share of the mean range partition is counted map-side instead of being sorted.
 HOT_SHARE = 0.25
+#: Characters of a text that take part in the splitters.
+PREFIX = 32
 
 
 def content_sort(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "smallest", partitions: int | None = None, normalise: Column | None = None) -> DataFrame:
@@ -35,8 +37,9 @@ def content_sort(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     largest = keep == "largest"
     best = F.max(F.struct(F.col("_id").isNotNull().alias("s"), F.col("_id").alias("id"), (-F.col("_m")).alias("m"))) if largest else F.min(F.struct(F.col("_id").isNull().alias("s"), F.col("_id").alias("id"), F.col("_m").alias("m")))
 
-    cold = rows.join(F.broadcast(hot), "_h", "left_anti").repartitionByRange(n, "_t")
-    group = Window.partitionBy("_t")
+    # splitters are sampled from the first bytes, and from a hash where these tie, so that the driver sees no whole text
+    cold = rows.withColumn("_p", F.substring("_t", 1, PREFIX)).join(F.broadcast(hot), "_h", "left_anti").repartitionByRange(n, "_p", "_h")
+    group = Window.partitionBy("_p", "_h", "_t")
     first = F.col("_id").desc_nulls_last() if largest else F.col("_id").asc_nulls_last()
     ordered = group.orderBy(first, "_m")
     cold = cold.withColumn("_keep", F.first("_id").over(ordered)).withColumn("_kept", F.row_number().over(ordered) == 1).withColumn("_size", F.count("*").over(group))
