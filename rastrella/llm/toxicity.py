@@ -15,7 +15,7 @@ from .common import held_out, table
 
 #: The training sample: so many rows of each label at most, of at most so many UTF-8 bytes each.
 SAMPLE_ROWS = 700
-SAMPLE_BYTES = 32_768
+SAMPLE_BYTES = 16_384
 #: Windows of words, and the words from one window's start to the next: less than a window, so that all overlap.
 WINDOW, STRIDE = 32, 24
 HIDDEN, ATTENTION = 4, 4
