@@ -46,6 +46,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def among_least(hash_: str, total: str, k: int) -> Column:
+    """Whether a row may be among the ``k`` of ``total`` rows with the least 63-bit hash.
+
+    Four times as many rows are expected to pass as are needed, so that a sample of fixed size costs each task and the
+    shuffle no more on more data.
+    """
+    return F.col(hash_) <= F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(4.0 * k) / F.col(total))
+
+
 def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, bits: int = RANK_BITS) -> DataFrame:
     """Add ``rank`` (0-based place within the keys) and, with a weight, ``before`` (the sum of the weights in front).
 

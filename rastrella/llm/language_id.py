@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import among_least, held_out, table
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
@@ -109,10 +109,11 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 def training_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample, in an order that only the rows decide; rows of the held-out fold never enter."""
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)) & (F.octet_length(text) <= SAMPLE_BYTES))
-    rows = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
-    frequent = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGUAGES).select("y")
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).filter(F.col("r") <= SAMPLE_ROWS)
-    return sorted((r["t"], r["y"]) for r in best.join(F.broadcast(frequent), "y", "left_semi").select("t", "y").collect())
+    rows = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text)), 1).alias("h"))
+    frequent = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGUAGES)
+    near = rows.join(F.broadcast(frequent), "y").filter(among_least("h", "n", SAMPLE_ROWS)).drop("n")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).filter(F.col("r") <= SAMPLE_ROWS)
+    return sorted((r["t"], r["y"]) for r in best.select("t", "y").collect())
 
 
 def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import among_least, held_out, table
 
 #: The training sample: so many rows of each label at most, of at most so many UTF-8 bytes each.
 SAMPLE_ROWS = 700
@@ -278,8 +278,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     """A bounded sample with both labels, in an order that only the rows decide; none of the held-out fold."""
     usable = docs.filter(F.col(text).isNotNull() & ~held_out(F.col(doc_id)) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
     named = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).groupBy("_id").agg(F.max("y").alias("y"))
-    named = named.withColumn("h", F.xxhash64("_id")).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "_id"))).filter(F.col("r") <= 2 * SAMPLE_ROWS)
-    rows = usable.join(F.broadcast(named), "_id")  # 4 SAMPLE_ROWS rows at most
+    named = named.withColumn("h", F.shiftrightunsigned(F.xxhash64("_id"), 1))
+    count = named.groupBy("y").agg(F.count("*").alias("n"))  # two rows
+    named = named.join(F.broadcast(count), "y").filter(among_least("h", "n", 2 * SAMPLE_ROWS)).drop("n")
+    rows = usable.join(F.broadcast(named), "_id")  # about 16 SAMPLE_ROWS labels, however many there are
     best = rows.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "_id", "t"))).filter(F.col("r") <= SAMPLE_ROWS)
     return sorted((r["t"], r["y"]) for r in best.select("t", "y").collect())
 
