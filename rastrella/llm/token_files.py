@@ -23,8 +23,8 @@ MAGIC = b"RPTK"
 SHARD_TOKENS = 1 << 20
 #: Symbols of a shard fit 16 bits.
 SYMBOLS = 1 << 16
-#: A round replaces so many pairs at most, none seen more seldom than this; rounds end when nothing is left or ids run out.
-ROUND_PAIRS, LEAST_COUNT, MOST_ROUNDS = 6144, 8, 3
+#: A round replaces so many pairs at most, none seen more seldom than this; rounds end when no such pair is left or symbols run out.
+ROUND_PAIRS, LEAST_COUNT = 6144, 8
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
 CACHE = 800_000
 #: Letters and the marks after them: the pre-tokenizer always cuts between the two.
@@ -45,7 +45,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
     seq, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends - 1] = True
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(MOST_ROUNDS):
+    while True:
         room = min(ROUND_PAIRS, SYMBOLS - first_symbol - len(rules))
         if len(seq) < 2 or room <= 0:
             break
@@ -56,9 +56,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
         often = np.flatnonzero(count >= LEAST_COUNT)
         if not len(often):
             break
-        often = often[np.lexsort((counted[start[often]], -count[often]))[:room]]
-        chosen = np.sort(counted[start[often]])
-        # a table of hashes finds the pairs; of two in one slot only one is replaced in this round
+        often = counted[start[often[np.lexsort((counted[start[often]], -count[often]))]]]
+        # a table of hashes finds the pairs; of those in one slot the most frequent takes part in this round
+        often = often[: 2 * room]
+        often = often[np.sort(np.unique((often * _ODD) >> _TO_SLOT, return_index=True)[1])[:room]]
+        chosen = np.sort(often)
         slot = np.full(1 << 18, -1, np.int16)
         slot[(chosen * _ODD) >> _TO_SLOT] = np.arange(len(chosen), dtype=np.int16)
         rank = slot[(pair * _ODD) >> _TO_SLOT]
