@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import sys
 import types
@@ -12,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +23,15 @@ MAGIC = b"RPTK"
 SHARD_TOKENS = 1 << 20
 #: Symbols of a shard fit 16 bits.
 SYMBOLS = 1 << 16
-#: A round replaces so many pairs at most, none seen more seldom than this; rounds end when no such pair is left or symbols run out.
-ROUND_PAIRS, LEAST_COUNT = 6144, 8
+#: A round replaces so many pairs at most, none seen more seldom than this; rounds end when symbols run out or when the
+#: pairs left are fewer than one in so many places of the sequence.
+ROUND_PAIRS, LEAST_COUNT, LEAST_SHARE = 8192, 8, 1000
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
-CACHE = 800_000
-#: Letters and the marks after them: the pre-tokenizer always cuts between the two.
-_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]+)")
-_WIDE_SPACE = re.compile(r"\s\s|[^\S \n]")
+CACHE = 1_200_000
+#: Texts with any of these are encoded whole: white space other than a blank or line end, and two of those together.
+_WIDE_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("  ", "\n\n", " \n", "\n ")
+#: Characters of text that are encoded at once; a longer text is encoded alone.
+PART = 4 << 20
 _ODD, _TO_SLOT = np.uint32(2654435761), np.uint32(14)
 
 
@@ -54,7 +56,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
         start = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(counted) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(counted)))
         often = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(often):
+        if count[often].sum() * LEAST_SHARE < len(seq) or not len(often):
             break
         often = counted[start[often[np.lexsort((counted[start[often]], -count[often]))]]]
         # a table of hashes finds the pairs; of those in one slot the most frequent takes part in this round
@@ -145,7 +147,13 @@ class Shard:
         return expand(self.seq[start : int(self.seq_ends[i])], self.rules, self.lengths, self.first)
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.lengths, self.first)
+        """All ids: each symbol's expansion is made once, unless together they are longer than the ids, and gathered."""
+        if self.lengths.sum(dtype=np.int64) > self.n_tokens:
+            return expand(self.seq, self.rules, self.lengths, self.first)
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.lengths, self.first)])
+        sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+        size, start = sizes[self.seq], (np.cumsum(sizes) - sizes)[self.seq]
+        return flat[np.repeat(start - np.cumsum(size) + size, size) + np.arange(self.n_tokens)]
 
 
 # tokenizing
@@ -156,6 +164,7 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins characters over a single space (which begins the next piece) or a single
     line end (a piece of its own), so pieces can be encoded apart. Texts with any other white space are encoded whole.
+    Arrow splits the texts of a part and numbers their different pieces; known pieces are then gathered by number.
     """
 
     def __init__(self, path: str) -> None:
@@ -163,58 +172,87 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"": b""}
         begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             begins[i] = token.startswith("Ġ")
         self.begins = begins
-        self.newline = self._ids("\n").tobytes()
-        self.newline_id = int(np.frombuffer(self.newline, np.uint16)[0])
+        self.newline_ids = self._ids("\n")
+        self.newline_id = int(self.newline_ids[0])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.starts, self.stops = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def _learn(self, missing: list[str], into: dict[str, bytes], by: str) -> None:
-        """Encode pieces together and cut the ids where the separator shows."""
+    def _learn(self, missing: list[str], by: str) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces together; their ids, with the separator's in front of each, and where each begins."""
         ids = np.array(self.tokenizer.encode_batch_fast([by + by.join(missing)], add_special_tokens=False)[0].ids, np.uint16)
         first = np.flatnonzero(self.begins[ids] if by == " " else ids == self.newline_id)
-        stop = np.append(first[1:], len(ids))
-        if by == "\n":
-            first = first + 1
         assert len(first) == len(missing)
-        raw = ids.tobytes()
-        into.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(missing, first.tolist(), stop.tolist()))
-
-    def _find(self, missing: set[str], into: dict[str, bytes], by: str) -> None:
-        """Encode unknown pieces; of a word with marks behind it, the word and the marks apart."""
-        split = {w: m.groups() for w in missing if (m := _STEM.fullmatch(w))}
-        stems = {stem for stem, _ in split.values() if stem not in into} | (missing - split.keys())
-        marks = {m for _, m in split.values() if m not in self.bare}
-        if marks:
-            self._learn(list(marks), self.bare, "\n")
-        if stems:
-            self._learn(list(stems), into, by)
-        into.update((w, into[stem] + self.bare[m]) for w, (stem, m) in split.items())
+        return ids, first
+
+    def _add(self, keys: list[str]) -> None:
+        """Number new pieces and keep their ids. A piece that opens a line has the line end in front, and a text's first a \\r."""
+        opening = [k for k in keys if k[:1] in ("\n", "\r") and len(k) > 1]
+        empty = [k for k in keys if k in ("\n", "\r")]
+        spaced = [k for k in keys if k[:1] not in ("\n", "\r")]
+        ids, starts, stops = [self.newline_ids] * len(empty), [np.array([int(k == "\r") for k in empty], np.int64)], [np.ones(len(empty), np.int64)]
+        at = len(empty)
+        if empty:
+            starts[0] += np.arange(at)
+            stops[0] += np.arange(at)
+        for found, by in ((opening, "\n"), (spaced, " ")):
+            if found:
+                own, first = self._learn([k[1:] for k in found] if by == "\n" else found, by)
+                skip = np.array([k[0] == "\r" for k in found], np.int64) if by == "\n" else 0
+                ids.append(own)
+                starts.append(at + first + skip)
+                stops.append(at + np.append(first[1:], len(own)))
+                at += len(own)
+        order = empty + opening + spaced
+        self.slots.update(zip(order, range(len(self.slots), len(self.slots) + len(order))))
+        base = len(self.flat)
+        self.flat = np.concatenate([self.flat, *ids])
+        self.starts = np.concatenate([self.starts, *(x + base for x in starts)])
+        self.stops = np.concatenate([self.stops, *(x + base for x in stops)])
+
+    def _gather(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without wide space."""
+        if len(self.slots) > CACHE:
+            self._forget()
+        lists = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        pieces = lists.values.dictionary_encode()
+        keys = pieces.dictionary.to_pylist()
+        missing = [k for k in keys if k not in self.slots]
+        if missing:
+            self._add(missing)
+        slot = np.array([self.slots[k] for k in keys], np.int64)[pieces.indices.to_numpy()]
+        start, size = self.starts[slot], self.stops[slot] - self.starts[slot]
+        before = np.concatenate([[0], np.cumsum(size)])
+        raw = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])].tobytes()
+        ends = (2 * before[lists.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as 16-bit integers."""
+        at = 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= PART:
+                size += len(texts[stop])
+                stop += 1
+            wide = [any(c in t for c in _WIDE_SPACE) for t in texts[at:stop]]
+            plain = iter(self._gather([t for t, w in zip(texts[at:stop], wide) if not w]))
+            for t, w in zip(texts[at:stop], wide):
+                yield self._ids(t).tobytes() if w else next(plain)
+            at = stop
 
     def encode(self, text: str) -> bytes:
-        """Ids as 16-bit integers."""
-        if _WIDE_SPACE.search(text):
-            return self._ids(text).tobytes()
-        if len(self.spaced) + len(self.bare) > CACHE:
-            self.spaced, self.bare = {}, {"": b""}
-        lines = [line.split(" ") for line in text.split("\n")]
-        spaced, bare = self.spaced, self.bare
-        try:
-            return self._join(lines)
-        except KeyError:
-            self._find({line[0] for line in lines if line[0] not in bare}, bare, "\n")
-            self._find({w for line in lines for w in line[1:] if w not in spaced}, spaced, " ")
-            return self._join(lines)
-
-    def _join(self, lines: list[list[str]]) -> bytes:
-        spaced, bare = self.spaced.__getitem__, self.bare
-        return self.newline.join([bare[line[0]] + b"".join(map(spaced, line[1:])) for line in lines])
+        """Ids of one text."""
+        return next(self.encode_all([text]))
 
 
 def encoder(path: str) -> Encoder:
@@ -258,8 +296,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, text: str = "text", do
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for name, t in zip(names, texts):
-                parts.append(coder.encode(t) + tail)
+            for name, raw in zip(names, coder.encode_all(texts)):
+                parts.append(raw + tail)
                 ids.append(name)
                 size += len(parts[-1]) // 2
                 if size >= shard_tokens:
