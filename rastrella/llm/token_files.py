@@ -8,6 +8,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ CACHE = 1_200_000
 #: Texts with any of these are encoded whole: white space other than a blank or line end, and two of those together.
 _WIDE_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("  ", "\n\n", " \n", "\n ")
 #: Characters of text that are encoded at once; a longer text is encoded alone.
-PART = 4 << 20
+PART = 8 << 20
+#: Pieces that the tokenizer gets as one text.
+GROUP = 256
 _ODD, _TO_SLOT = np.uint32(2654435761), np.uint32(14)
 
 
@@ -189,7 +192,8 @@ class Encoder:
 
     def _learn(self, missing: list[str], by: str) -> tuple[np.ndarray, np.ndarray]:
         """Encode pieces together; their ids, with the separator's in front of each, and where each begins."""
-        ids = np.array(self.tokenizer.encode_batch_fast([by + by.join(missing)], add_special_tokens=False)[0].ids, np.uint16)
+        groups = [by + by.join(missing[i : i + GROUP]) for i in range(0, len(missing), GROUP)]
+        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
         first = np.flatnonzero(self.begins[ids] if by == " " else ids == self.newline_id)
         assert len(first) == len(missing)
         return ids, first
@@ -226,10 +230,12 @@ class Encoder:
         lists = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         pieces = lists.values.dictionary_encode()
         keys = pieces.dictionary.to_pylist()
-        missing = [k for k in keys if k not in self.slots]
-        if missing:
-            self._add(missing)
-        slot = np.array([self.slots[k] for k in keys], np.int64)[pieces.indices.to_numpy()]
+        found = np.array(list(map(self.slots.get, keys, repeat(-1))), np.int64)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            self._add([keys[i] for i in fresh.tolist()])
+            found[fresh] = [self.slots[keys[i]] for i in fresh.tolist()]
+        slot = found[pieces.indices.to_numpy()]
         start, size = self.starts[slot], self.stops[slot] - self.starts[slot]
         before = np.concatenate([[0], np.cumsum(size)])
         raw = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])].tobytes()
