@@ -1,0 +1,169 @@
+"""Near-deduplication by the Jaccard similarity of word shingles, exact by prefix filtering."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+from .graph import components
+from .simhash import SEED
+
+SIMILARITY = 0.8
+#: While the pairs left are more than this many for each pair of shingle and text, another round of stars is tried first.
+MOST_PAIRS = 16
+_SLICE = 1 << 20
+
+
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of ``words`` words (A-Z lower-cased)."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.zeros(0, np.int64)
+    joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found]).tolist()
+    last = max(0, len(found) - words)
+    starts, stops = [0, *ends[:last]], ends[len(ends) - 1 - last :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, stops)], np.uint64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, node, n)`` of every row: a hash of its set of shingles, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes = [], []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                grams = shingles(t, words)
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+                sizes.append(len(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "node", "n"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, n long")
+
+
+def shared_shingles(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """``(gram, node, df)`` of the shingles that at least two different sets hold, with the number of those sets."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, nodes, held = [], [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.concatenate(nodes))], names=["gram", "node"])
+
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                grams = shingles(t, words)
+                node = np.array([xxhash.xxh64_intdigest(grams.tobytes(), SEED)], np.uint64).view(np.int64)
+                made.append(grams)
+                nodes.append(np.repeat(node, len(grams)))
+                held += len(grams)
+                if held > _SLICE:
+                    yield batch_of()
+                    made, nodes, held = [], [], 0
+        if held:
+            yield batch_of()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept(gram: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+            gram, node = gram[new], node[new]
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            df = np.diff(np.append(first, len(gram)))
+            df = np.repeat(df, df)
+            return pa.RecordBatch.from_arrays([pa.array(x[df > 1]) for x in (gram, node, df)], names=["gram", "node", "df"])
+
+        grams, nodes = [], []  # a run of equal shingles may go over many batches
+        for batch in batches:
+            gram, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(gram):
+                continue
+            end = int(np.searchsorted(gram, gram[-1]))
+            if grams and (end or grams[-1][-1] != gram[-1]):
+                yield kept(np.concatenate([*grams, gram[:end]]), np.concatenate([*nodes, node[:end]]))
+                grams, nodes = [], []
+            elif end:
+                yield kept(gram[:end], node[:end])
+            grams.append(gram[end:])
+            nodes.append(node[end:])
+        if grams:
+            yield kept(np.concatenate(grams), np.concatenate(nodes))
+
+    flat = docs.select(F.col(text).alias("text")).mapInArrow(emit, "gram long, node long")
+    return flat.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(runs, "gram long, node long, df long")
+
+
+def similar_sets(sets: DataFrame, shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(u, v)`` that connect the different ``sets (node, n)`` with a Jaccard similarity of ``similarity`` or more.
+
+    Of two such sets, each shares at least ``similarity`` of its shingles with the other. So a set with fewer shared
+    shingles is left out, and two others meet on one of the rarest n - ceil(similarity n) + 1 shingles of both, in one
+    order by frequency. Shingles of a single set come first there and need no bucket. Every pair that meets is compared
+    shingle by shingle, but for those already connected.
+    """
+    floor = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    lists = shared.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda g: g["gram"]).alias("grams"))
+    cands = cut(lists.join(sets, "node").filter(F.size("grams") >= floor))
+    prefix = cands.select("node", "n", F.explode(F.slice("grams", F.lit(1), (F.size("grams") - floor + 1).cast("int"))).alias("gram"))
+    several = prefix.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram")
+    buckets = cut(prefix.join(several, "gram"))
+    n_rows = buckets.count()
+    lists = cands.select("node", "n", "grams")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs (u, v)``, those that are similar."""
+        a, b = (lists.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"g_{k}")) for k in "uv")
+        both = F.size(F.array_intersect("g_u", "g_v"))
+        met = pairs.distinct().join(a, "u").join(b, "v")
+        return met.filter(both * (1 + similarity) >= F.lit(similarity) * (F.col("n_u") + F.col("n_v")) - 1e-9).select("u", "v")
+
+    in_reach = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    links, turn, left = cut(buckets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)), 0, None
+    while True:
+        roots = components(links) if turn else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = named.groupBy("gram", "root").agg(F.count("*").alias("c"))
+        open_ = parts.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).filter("k > 1")
+        before, left = left, open_.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()[0]
+        met = cut(named.join(open_.select("gram"), "gram"))
+        if turn and (left <= MOST_PAIRS * n_rows or left > 0.9 * before):
+            break
+        # a star: every set against one of its bucket, another one each turn
+        centre = met.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.struct("node", "n", "root").alias("s")))["s"].alias("s"))
+        star = met.join(centre, "gram").filter((F.col("root") != F.col("s.root")) & in_reach(F.col("n"), F.col("s.n")))
+        links = cut(links.unionByName(near(star.select(F.least("node", "s.node").alias("u"), F.greatest("node", "s.node").alias("v")))))
+        turn += 1
+    x, y = met.select("gram", F.struct("node", "n", "root").alias("x")), met.select("gram", F.struct("node", "n", "root").alias("y"))
+    rest = x.join(y, "gram").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & in_reach(F.col("x.n"), F.col("y.n")))
+    return links.unionByName(near(rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row, its component's smallest ``doc_id``.
+
+    Texts link whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Null and empty texts and those
+    of white space have no shingles and equal sets. A text with fewer words than a shingle is one shingle. A component of
+    which all identifiers are null has a null name. An empty table gives no rows; extra columns are ignored.
+    """
+    made = cut(shingle_sets(docs, words, text, doc_id))
+    nodes = cut(made.groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("least")))
+    roots = components(similar_sets(nodes.select("node", "n"), shared_shingles(docs, words, text), similarity))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return made.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component, the one with its smallest identifier, with all columns of ``docs``.
+
+    Rows with a null identifier stay: they cannot be told apart. Rows that repeat the identifier that stays all stay.
+    """
+    links = similar_documents(docs, words, similarity, text, doc_id)
+    gone = links.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")

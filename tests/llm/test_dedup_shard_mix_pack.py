@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from rastrella.llm import exact_dedup, mixing, packing, sharding, simhash
+import corpus_pipeline
+from rastrella.llm import exact_dedup, mixing, packing, sharding, simhash, similar
 from rastrella.llm.common import spread_rank
 from rastrella.llm.graph import components
 from pyspark.sql import functions as F
@@ -150,6 +151,38 @@ def test_near_duplicates_of_hard_rows(hard_docs, no_docs):
     assert kept.columns == hard_docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 4, 9, None}
 
 
+def slow_shingles(text, words=5):
+    found = (text or "").encode().lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+@pytest.mark.parametrize("most", [similar.MOST_PAIRS, 0])
+def test_similar_documents_match_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(similar, "MOST_PAIRS", most)
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("n_chars < 4000").select("doc_id", "text").collect()]
+    line = " ".join(f"common{i}" for i in range(30))
+    base = [f"b{i}" for i in range(70)]
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(70), rng.randint(0, 4)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((10**6 + i, " ".join(words)))
+        rows.append((2 * 10**6 + i, f"{line} own{i} tail{i % 7}"))
+    sets = {d: slow_shingles(t) for d, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == union_find(sets, linked)
+
+
+def test_pipeline_drops_near_copies_beyond_three_bits(spark):
+    words = [f"word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:57], "other", *words[58:]])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    prints = [slow_fingerprint(r["text"], 5) for r in docs.collect()]
+    assert (prints[0] ^ prints[1]).bit_count() > 3
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7000, 7001), (7001, 7000), (7002, 7002)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
