@@ -97,6 +97,11 @@ def test_quality(spark, hard_docs, no_docs):
     assert perplexity.quality(no_docs).count() == 0
 
 
+def test_bands_reject_more_than_the_farthest(spark):
+    rows = perplexity.quality(spark.read.parquet(f"{SMALL}/documents.parquet")).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").filter("quality = 0 and not base_failed").collect()
+    assert sum(not r["kept"] for r in rows) >= 0.15 * len(rows) > 0
+
+
 # language
 
 
