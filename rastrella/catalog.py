@@ -401,8 +401,9 @@ def _warp_sql() -> str:
 
 @query(_warp_sql())
 def warp_utm(spark, sf_dir):
-    px = raster(spark, sf_dir, "radar").filter("y < 150").select("y", "x", F.col("dn").alias("v"), F.when(F.col("dn") % 7 == 0, 0).otherwise(255).alias("a"))
-    return op.warp_utm(px, _UTM_BOX, _UTM_ZONE, 100, 150, *_UTM_OUT)
+    px = raster(spark, sf_dir, "radar").select("y", "x", F.col("dn").alias("v"), F.when(F.col("dn") % 7 == 0, 0).otherwise(255).alias("a"))
+    width, height = px.agg(F.max("x") + 1, F.max("y") + 1).first()
+    return op.warp_utm(px, _UTM_BOX, _UTM_ZONE, width, height, *_UTM_OUT)
 
 
 #: Mercator box around the ground-control points, of which the fixture's formula gives the corners.
@@ -512,7 +513,7 @@ _LEVELS = {1: (40, 160), 2: (80, 320), 3: (160, 640)}
 
 @query(_pyramid_sql())
 def tile_pyramid(spark, sf_dir):
-    px, levels = raster(spark, sf_dir, "rgb").filter("y < 200"), None
+    px, levels = raster(spark, sf_dir, "rgb"), None
     for z, (w, h) in _LEVELS.items():  # each level from the full resolution
         one = op.cut_tiles(op.resample_to(px, "r", w, h), 0, 0, 0, 0, tile=64).withColumn("z", F.lit(z))
         levels = one if levels is None else levels.unionByName(one)
