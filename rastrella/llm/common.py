@@ -31,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(columns: Sequence[str]) -> Column:
+    """A struct of the named columns whose fields are called by place, so that no column's name can clash."""
+    return F.struct(F.lit(0).alias("c"), *(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(columns)))
+
+
+def unpacked(struct: str, columns: Sequence[str]) -> list[Column]:
+    """The columns of a ``packed`` struct under their own names."""
+    return [F.col(struct)[f"c{i}"].alias(name) for i, name in enumerate(columns)]
+
+
 def n_words(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

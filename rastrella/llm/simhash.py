@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, packed, table, unpacked
 from .graph import components
 
 SEED = 42
@@ -19,6 +19,16 @@ SEGMENTS = 8
 #: Buckets above this many different fingerprints are linked through shared neighbours instead of comparisons.
 HOT_BUCKET = 4096
 _CHUNK = 1 << 16
+#: Smallest shingle hashes of a set that are looked at, and how many of them it meets others on.
+SAMPLE, KEYS = 32, 8
+#: A shingle in the samples of more sets than this is a key only for sets that have few others.
+HOT_KEY = 1024
+#: Sets of a bucket that are compared at once; larger buckets are compared block by block.
+BLOCK = 512
+#: The bits of sets with fewer shingles scatter more: so many are added to their budget.
+SMALL_SET, SMALL_MORE = 16, 24
+#: While the pairs left are more than this many for each key of a set, another round of stars is tried first.
+MOST_PAIRS = 8
 
 
 def fingerprint(text: bytes | None, words: int) -> int:
@@ -180,14 +190,264 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", hot_bucket: int = HOT_BUCKET) -> DataFrame:
+# near copies by similarity: wide fingerprints, a sample of the shingles to meet on, and an exact check
+
+
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of the different shingles of ``words`` words (A-Z lower-cased), ascending."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found]).tolist()
+    last = max(0, len(found) - words)
+    starts, stops = [0, *ends[:last]], ends[len(ends) - 1 - last :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
+    """SimHash of ``64 * SEGMENTS`` bits of a set of shingle hashes, one segment a word."""
+    ones, turns = np.zeros(64 * SEGMENTS, np.int64), np.arange(1, SEGMENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(grams), 255):
+        z = grams[at : at + 255, None] + turns
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(z.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)
+
+
+def bit_budget(similarity: float) -> int:
+    """Bits in which two sets of this Jaccard similarity differ at most, but for one pair in some thousands.
+
+    Equally large sets share ``2 s / (1 + s)`` of their shingles, and a bit differs with the angle of that cosine; 3.5
+    standard deviations are added.
+    """
+    bits, p = 64 * SEGMENTS, float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(bits * p + 3.5 * np.sqrt(bits * p * (1 - p))))
+
+
+def sketch(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, node, n, fp, least)`` of every row: a hash of its set of shingles, their number, the wide fingerprint,
+    and its ``SAMPLE`` smallest shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, prints, least = [], [], [], []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                grams = shingles(t, words)
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+                sizes.append(len(grams))
+                prints.append(wide_fingerprint(grams))
+                least.append(grams[:SAMPLE].view(np.int64))
+            ends = np.cumsum([0, *map(len, least)]).astype(np.int32)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, SEGMENTS * len(prints) + 1, SEGMENTS, dtype=np.int32)), pa.array(np.concatenate(prints or [np.zeros(0, np.uint64)]).view(np.int64)))
+            some = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(least or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), fp, some], names=["doc_id", "node", "n", "fp", "least"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, n long, fp array<long>, least array<long>")
+
+
+def meeting_keys(nodes: DataFrame, similarity: float, hot_bucket: int = HOT_KEY) -> DataFrame:
+    """``(gram, node, m)``: the shingles on which each of ``nodes (node, n, least)`` is to meet others, and how many meet.
+
+    Two similar sets share each of their smallest hashes with at least the chance ``similarity``, so of ``KEYS`` ones
+    that other sets have too they miss all with ``(1 - similarity) ** KEYS`` at most, less than one pair in ten thousand.
+    A shingle in more than ``hot_bucket`` samples (of a passage that many texts share) is a key only for sets that have
+    few others: those that could be similar by such passages alone.
+    """
+    keyed = nodes.select("node", "n", F.size("least").alias("k"), F.explode("least").alias("gram"))
+    held = keyed.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
+    met = keyed.join(held, "gram").withColumn("hot", F.col("m") > hot_bucket)
+    mine = Window.partitionBy("node")
+    ranked = met.withColumn("cold", F.col("k") - F.sum(F.col("hot").cast("int")).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("hot", F.col("gram"))))
+    needed = F.least(F.lit(KEYS + 4), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
+    kept = ranked.filter(F.when(F.col("hot"), F.col("cold") < needed).otherwise(F.col("r") <= KEYS)).select("gram", "node")
+    sizes = kept.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
+    return kept.join(sizes, "gram")
+
+
+def _in_blocks(met: DataFrame) -> DataFrame:
+    """Rows of ``met (gram, m, node, ...)`` by ``run``: the pairs of blocks into which a bucket of ``m`` is cut.
+
+    Every two rows of a bucket meet in one run; ``side`` tells the blocks of a run apart, -1 where it is one block.
+    """
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("_b")).cast("int")
+    spread = met.withColumn("_b", blocks).withColumn("_i", own).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    run = F.xxhash64("gram", F.least("_i", "_j"), F.greatest("_i", "_j"))
+    side = F.when(F.col("_i") == F.col("_j"), -1).otherwise((F.col("_i") > F.col("_j")).cast("int"))
+    return spread.withColumn("run", run).withColumn("side", side).drop("_b", "_i", "_j", "gram", "m")
+
+
+def ring_pass(differences: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of ``differences`` (bits by segment) have a chain within its budgets from some segment on.
+
+    If all segments together differ in ``most`` bits or fewer, then from one of them every chain of ``l`` consecutive
+    segments of the ring differs in ``most * l / SEGMENTS`` at most (pigeonring principle, strong form). So a pair leaves
+    a start at the first chain over its budget, and what passes no start needs no whole distance.
+    """
+    found = np.zeros(len(differences), bool)
+    for start in range(SEGMENTS):
+        at = np.flatnonzero(~found)
+        total = np.zeros(len(at), np.int64)
+        for length in range(1, SEGMENTS):
+            total = total + differences[at, (start + length - 1) % SEGMENTS]
+            inside = total * SEGMENTS <= most[at] * length
+            at, total = at[inside], total[inside]
+        found[at] = True
+    return found
+
+
+def _close_pairs(run: np.ndarray, side: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the runs of rows sorted by run that size, ring and Hamming distance leave."""
+    budget, step, alive = bit_budget(similarity), 1, np.arange(len(run))
+    while True:
+        alive = alive[alive < len(run) - step]
+        alive = alive[run[alive] == run[alive + step]]
+        if not len(alive):
+            return
+        other = alive + step
+        low, high = np.minimum(n[alive], n[other]), np.maximum(n[alive], n[other])
+        ok = ((side[alive] < 0) | (side[alive] != side[other])) & (low >= similarity * high - 1e-9) & (root[alive] != root[other])
+        a, b, low = alive[ok], other[ok], low[ok]
+        if len(a):
+            differences = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+            most = np.where(low < SMALL_SET, budget + SMALL_MORE, budget)
+            at = np.flatnonzero(ring_pass(differences, most))
+            at = at[differences[at].sum(axis=1) <= most[at]]
+            if len(at):
+                yield a[at], b[at]
+        step += 1
+
+
+def _compare(met: DataFrame, similarity: float, pairs: bool) -> DataFrame:
+    """Of ``met (gram, m, node, root, n, fp)``, the nodes that are close to another of their bucket, or the close ``pairs``."""
+
+    def links(batch: pa.RecordBatch) -> pa.RecordBatch:
+        run, side, node, root, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        fp = batch.column(5).flatten().to_numpy().view(np.uint64).reshape(-1, SEGMENTS)
+        found = list(_close_pairs(run, side, n, root, fp, similarity))
+        if not pairs:
+            touched = np.unique(np.concatenate([np.zeros(0, np.int64), *(node[x] for pair in found for x in pair)]))
+            return pa.RecordBatch.from_arrays([pa.array(touched)], names=["node"])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(node[pair[i]] for pair in found)]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # a run has two blocks at most, but may go over many batches
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run = batch.column(0).to_numpy()
+            end = int(np.searchsorted(run, run[-1]))
+            if end or (held and held[-1].column(0)[0] != batch.column(0)[0]):
+                whole = pa.Table.from_batches([*held, batch.slice(0, end)]).combine_chunks().to_batches()
+                if whole:
+                    yield links(whole[0])
+                held = []
+            held.append(batch.slice(end))
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            if whole:
+                yield links(whole[0])
+
+    rows = _in_blocks(met).select("run", "side", "node", "root", "n", "fp").repartition("run").sortWithinPartitions("run", "node")
+    return rows.mapInArrow(work, "u long, v long" if pairs else "node long").distinct()
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, doc_id: str) -> DataFrame:
+    """``(node, grams)`` of the nodes ``wanted (node, doc_id)``, each made anew from the text of its smallest row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in made], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made or [np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), grams], names=["node", "grams"])
+
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    texts = texts.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
+    sets = texts.mapInArrow(run, "node long, grams array<long>")
+    return sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, text: str, doc_id: str, hot_bucket: int = HOT_KEY) -> DataFrame:
+    """Links ``(u, v)`` that connect the similar sets of ``nodes (node, n, fp, least, doc_id)``.
+
+    Sets meet on a few of their shingles; within a bucket, size, ring chains and the whole Hamming distance of the wide
+    fingerprints leave the candidates, and their whole sets are compared. Buckets are first contracted by stars (each set
+    against one of its bucket, another one each turn), so that a group of many near copies makes a link a copy, not all
+    pairs; the rest is compared block by block. What is already connected isn't compared.
+    """
+    figures = nodes.select("node", "n", "fp")
+    keys = cut(meeting_keys(nodes, similarity, hot_bucket))
+    met = keys.join(figures, "node").withColumn("root", F.col("node"))
+    touched = cut(_compare(met, similarity, pairs=False))
+    sets = cut(_whole_sets(docs, nodes.join(touched, "node").select("node", "doc_id"), words, text, doc_id))
+    buckets = cut(keys.join(touched, "node").select("gram", "node"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs (u, v)``, those that are similar."""
+        a, b = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"g_{k}")) for k in "uv")
+        both, total = F.size(F.array_intersect("g_u", "g_v")), F.size("g_u") + F.size("g_v")
+        return pairs.join(a, "u").join(b, "v").filter(both * (1 + similarity) >= F.lit(similarity) * total - 1e-9).select("u", "v")
+
+    budget, links, left = bit_budget(similarity), None, None
+    while True:
+        roots = components(links) if links is not None else buckets.select("node", F.col("node").alias("root")).limit(0)
+        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = named.groupBy("gram", "root").agg(F.count("*").alias("c"))
+        open_ = parts.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).filter("k > 1")
+        met = cut(named.join(open_.select("gram", "m", "q"), "gram").join(figures, "node"))
+        before, size = left, met.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("m") - F.col("q") / F.col("m")) / 2), F.lit(0.0)).alias("left")).first()
+        left = size["left"]
+        if left <= MOST_PAIRS * size["n"] or (before is not None and left > 0.7 * before):
+            break
+        centre = met.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(left)), F.struct("node", "n", "root", "fp").alias("s")))["s"].alias("s"))
+        apart = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("s.fp")[i])) for i in range(SEGMENTS)), F.lit(0))
+        most = F.when(F.least("n", "s.n") < SMALL_SET, budget + SMALL_MORE).otherwise(budget)
+        in_reach = (F.col("root") != F.col("s.root")) & (F.least("n", "s.n") >= F.lit(similarity) * F.greatest("n", "s.n") - 1e-9) & (apart <= most)
+        star = met.join(centre, "gram").filter(in_reach).select(F.least("node", "s.node").alias("u"), F.greatest("node", "s.node").alias("v")).distinct()
+        links = cut(near(star) if links is None else links.unionByName(near(star)))
+    rest = near(_compare(met.select("gram", "m", "node", "root", "n", "fp"), similarity, pairs=True))
+    return rest if links is None else links.unionByName(rest)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", hot_bucket: int = HOT_KEY) -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row, its component's smallest ``doc_id``.
+
+    Texts link whose sets of shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more: candidates
+    within the bit budget of that similarity on ``64 * SEGMENTS`` bits, by ring chains and the whole distance, and then a
+    comparison of the whole sets. So no link is wrong, and a similar pair is missed with the small chances that
+    ``bit_budget`` and ``meeting_keys`` state. Equal sets are one node, so copies make no pairs.
+
+    Null and empty texts and those of white space have no shingles and equal sets. A text with fewer words than a shingle
+    is one shingle. A component of which all identifiers are null has a null name. Repeated rows each get a row; an empty
+    table gives none; extra columns are ignored.
+    """
+    made = cut(sketch(docs, words, text, doc_id))
+    nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.min("doc_id").alias("doc_id"))
+    nodes = cut(nodes)
+    roots = components(similar_links(docs, nodes, words, similarity, text, doc_id, hot_bucket))
+    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return made.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component, the one with its smallest identifier, with all columns of ``docs``.
 
-    Rows with a null identifier stay: they cannot be told apart. Rows that repeat the identifier that stays all stay.
+    Components are those of ``similar_documents``, or of ``near_duplicates`` if ``similarity`` is None. Rows with a null
+    identifier stay: they cannot be told apart. Rows that repeat the identifier that stays all stay.
     """
-    links = near_duplicates(docs, words, text, doc_id, hot_bucket)
-    gone = links.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    links = near_duplicates(docs, words, text, doc_id) if similarity is None else similar_documents(docs, words, similarity, text, doc_id)
+    gone = links.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(packed(docs.columns).alias("_row"), F.col(f"`{doc_id}`").alias("_doc"))
+    return rows.join(gone, F.col("_doc") == F.col("_id"), "left_anti").select(*unpacked("_row", docs.columns))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

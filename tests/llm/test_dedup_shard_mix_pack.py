@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from rastrella.llm import exact_dedup, mixing, packing, sharding, simhash, similar
+from rastrella.llm import exact_dedup, mixing, packing, sharding, simhash
 from rastrella.llm.common import spread_rank
 from rastrella.llm.graph import components
 from pyspark.sql import functions as F
@@ -147,7 +147,7 @@ def test_near_duplicates_of_hard_rows(hard_docs, no_docs):
         by[r["doc_id"]].add(r["component_id"])
     assert by[3] == by[2] == by[1] == {1} and by[5] == by[6] == by[4] == {4}
     assert simhash.near_duplicates(no_docs, 5).count() == 0
-    kept = simhash.drop_near_duplicates(hard_docs, 5)
+    kept = simhash.drop_near_duplicates(hard_docs, 5, None)
     assert kept.columns == hard_docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 4, 9, None}
 
 
@@ -156,9 +156,10 @@ def slow_shingles(text, words=5):
     return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
-@pytest.mark.parametrize("most", [similar.MOST_PAIRS, 0])
-def test_similar_documents_match_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(similar, "MOST_PAIRS", most)
+@pytest.mark.parametrize(("most", "hot", "block"), [(simhash.MOST_PAIRS, simhash.HOT_KEY, simhash.BLOCK), (0, 8, 7), (10**9, 8, 7)])
+def test_similar_documents_match_brute_force(spark, monkeypatch, most, hot, block):
+    monkeypatch.setattr(simhash, "MOST_PAIRS", most)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("n_chars < 4000").select("doc_id", "text").collect()]
     line = " ".join(f"common{i}" for i in range(30))
@@ -169,12 +170,42 @@ def test_similar_documents_match_brute_force(spark, monkeypatch, most):
             words[at] = f"x{rng.randrange(10**6)}"
         rows.append((10**6 + i, " ".join(words)))
         rows.append((2 * 10**6 + i, f"{line} own{i} tail{i % 7}"))
+        rows.append((3 * 10**6 + i, f"{line} " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(40))))
     sets = {d: slow_shingles(t) for d, t in rows}
     linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
-    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), hot_bucket=hot).collect()}
     assert got == union_find(sets, linked)
 
 
+def test_ring_never_loses_a_pair_within_the_budget():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 40, (20_000, simhash.SEGMENTS))
+    most = rng.integers(60, 160, len(a))
+    passed = simhash.ring_pass(a, most)
+    assert passed[a.sum(axis=1) <= most].all() and not passed.all()
+
+
+def test_near_copy_recall(spark):
+    """Of the pairs of different texts with a similarity of 0.8 that a plain join on all shingles finds, all share a component."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    roots = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    rows = docs.collect()
+    sets = {r["doc_id"]: frozenset(simhash.shingles((r["text"] or "").encode(), 5).tolist()) for r in rows}
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(sets[d], d)
+    holders = defaultdict(list)
+    for s, d in least.items():
+        for g in s:
+            holders[g].append(d)
+    pairs, by_id = set(), {d: s for s, d in least.items()}
+    for found in holders.values():
+        if 1 < len(found) <= 50:
+            pairs.update(itertools.combinations(found, 2))
+    near = [(a, b) for a, b in pairs if 9 * len(by_id[a] & by_id[b]) >= 4 * (len(by_id[a]) + len(by_id[b]))]
+    assert len(near) > 40 and all(roots[a] == roots[b] for a, b in near)
+
+
 def test_pipeline_drops_near_copies_beyond_three_bits(spark):
     words = [f"word{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:57], "other", *words[58:]])), (3, " ".join(words[::-1]))], "doc_id long, text string")
