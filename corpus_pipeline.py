@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rastrella.llm import exact_dedup, mixing, packing, similar, toxicity
+from rastrella.llm import exact_dedup, mixing, packing, simhash, toxicity
 from rastrella.llm.common import table
 
 
@@ -21,8 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return similar.drop_similar(docs, words=5)
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found by SimHash."""
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
 #: SQL can express neither the network nor the fingerprints.
 ORACLE_SQL = None
