@@ -65,17 +65,22 @@ def among_least(hash_: str, total: str, k: int) -> Column:
     return F.col(hash_) <= F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(4.0 * k) / F.col(total))
 
 
-def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, bits: int = RANK_BITS) -> DataFrame:
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, bits: int = RANK_BITS, slim: DataFrame | None = None) -> DataFrame:
     """Add ``rank`` (0-based place within the keys) and, with a weight, ``before`` (the sum of the weights in front).
 
     Rows of one key are ordered by a hash of ``order``. The hash range is cut into ``2**bits`` buckets; rows are
     numbered inside a bucket, and the buckets' totals, one small row each, are summed to the bucket's offset. So no
-    task has to hold a whole key, however many rows it has. Keys must not be null. ``df`` is read twice.
+    task has to hold a whole key, however many rows it has. Keys must not be null. ``df`` is read twice, or once if
+    ``slim`` has the same rows with fewer columns.
     """
     keys = list(keys)
-    marked = df.withColumn("_k", F.shiftrightunsigned(F.xxhash64(*order), 1)).withColumn("_b", F.shiftright("_k", 63 - bits).cast("int"))
-    marked = marked.withColumn("_w", weight if weight is not None else F.lit(0))
-    sums = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("_w").alias("_s"))
+
+    def mark(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_k", F.shiftrightunsigned(F.xxhash64(*order), 1)).withColumn("_b", F.shiftright("_k", 63 - bits).cast("int"))
+        return rows.withColumn("_w", weight if weight is not None else F.lit(0))
+
+    marked = mark(df)
+    sums = mark(slim if slim is not None else df).groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("_w").alias("_s"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_k", *order)
