@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, spread_rank, table
+from .common import cut, n_words, packed, spread_rank, table, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -47,18 +47,18 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     words (taken 0); a null source is a source; equal rows are ordered alike and interchangeable, so reruns agree.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"_size": n_words(F.col(text)), "_src": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")), "_t": F.xxhash64(F.col(text))})
-    keep = [] if not carry else [F.struct(*docs.columns).alias("_row")]
-    rows = rows.select(F.col(doc_id).alias("doc_id"), "_size", "_src", "_t", *keep)
-    sizes = {r["_src"]: r["n"] for r in rows.groupBy("_src").agg(F.sum("_size").alias("n")).collect()}
+    source_key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))
+    keep = [packed(docs.columns).alias("_row")] if carry else []
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), n_words(F.col(f"`{text}`")).alias("_size"), source_key.alias("_src"), F.xxhash64(F.col(f"`{text}`")).alias("_t"), *keep)
+    slim = cut(rows.drop("_row"))  # words are counted once for the sums; whole rows are never checkpointed
+    sizes = {r["_src"]: r["n"] for r in slim.groupBy("_src").agg(F.sum("_size").alias("n")).collect()}
     named = {k[1:] if k else None: v for k, v in sizes.items()}
     plan = []
     for name, target in targets(named, weights, share, most).items():
         whole = int(target // named[name]) if named[name] else 0
         plan.append(("" if name is None else "=" + name, int(named[name]), float(target), whole, float(target - whole * named[name])))
     plan = spark.createDataFrame(plan, "_src string, source_size long, target double, _whole int, _rest double")
-    slim = rows.select("doc_id", "_size", "_src", "_t")
-    ranked = spread_rank(slim if not carry else rows, ["_src"], [F.col("doc_id"), F.col("_t")], weight=F.col("_size"))
+    ranked = spread_rank(rows if carry else slim, ["_src"], [F.col("doc_id"), F.col("_t")], weight=F.col("_size"), slim=slim)
     out = ranked.join(plan, "_src").withColumn("copies", F.col("_whole") + ((F.col("_rest") > 0) & (F.col("before") + F.col("_size") / 2 <= F.col("_rest"))).cast("int"))
     out = out.withColumn("copies", F.least("copies", F.lit(most))).withColumn("taken", (F.col("copies") * F.col("_size")).cast("long"))
     cols = ["doc_id", F.col("_size").alias("size"), "source_size", "target", "copies", "taken"]
@@ -66,9 +66,9 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``."""
+    """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``, whatever their names."""
     out = mix(docs, carry=True, **options).filter("copies > 0")
-    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_epoch")).select("_row.*")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_epoch")).select(*unpacked("_row", docs.columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
