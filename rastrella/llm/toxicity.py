@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among_least, held_out, table
+from .common import among_least, held_out, packed, table, unpacked
 
 #: The training sample: so many rows of each label at most, of at most so many UTF-8 bytes each.
 SAMPLE_ROWS = 700
 SAMPLE_BYTES = 16_384
-#: Windows of words, and the words from one window's start to the next: less than a window, so that all overlap.
-WINDOW, STRIDE = 32, 24
+#: Windows of words, and the words from one window's start to the next: half a window, so that some window holds
+#: every passage of up to 17 words whole.
+WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 4, 4
 WORD_DIM, WORD_BITS = 3, 12
 CHAR_DIM, CHAR_BITS = 3, 12
@@ -57,7 +58,7 @@ def hash_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole, gram[order], own[order]
 
 
-def _log_odds(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def _log_odds(sets: Iterable[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Log-odds of each bucket between toxic and other texts, nearer to 0 by two standard errors: what is rare proves little."""
     seen = np.zeros((2, 1 << EVIDENCE_BITS))
     for s, y in zip(sets, labels):
@@ -187,16 +188,15 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> dict:
     if len(set(labels.tolist())) < 2:
         return {"share": float(labels.mean()) if len(labels) else 0.0}
     rng = np.random.default_rng(seed)
-    texts = [words_of(t) for t, _ in rows]
     known: dict[str, int] = {}
-    ids_of = [np.array([known.setdefault(w, len(known)) for w in t], np.int64) for t in texts]
+    ids_of = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int64) for t, _ in rows]
     vocabulary = list(known) or [""]
     whole, gram, own = hash_words(vocabulary)
     split = np.searchsorted(own, np.arange(len(vocabulary) + 1))
     ev = lambda h: (h >> np.uint64(64 - EVIDENCE_BITS)).astype(np.int64)
     word_bucket, gram_bucket = ev(whole), ev(gram)
-    word_sets = [np.unique(word_bucket[ids]) for ids in ids_of]
-    char_sets = [np.unique(np.concatenate([gram_bucket[split[i] : split[i + 1]] for i in np.unique(ids)] or [np.zeros(0, np.int64)])) for ids in ids_of]
+    word_sets = (np.unique(word_bucket[ids]) for ids in ids_of)
+    char_sets = (np.unique(np.concatenate([gram_bucket[split[i] : split[i + 1]] for i in np.unique(ids)] or [np.zeros(0, np.int64)])) for ids in ids_of)
     size = WORD_DIM + CHAR_DIM + 3
     draw = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
     model = {"words": draw(1 << WORD_BITS, WORD_DIM) * 0.1, "chars": draw(1 << CHAR_BITS, CHAR_DIM) * 0.1, "word_odds": _log_odds(word_sets, labels), "char_odds": _log_odds(char_sets, labels), "w": draw(2, size, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32), "u": draw(2, HIDDEN, 3 * HIDDEN), "att": draw(2 * HIDDEN, ATTENTION), "att_v": draw(ATTENTION), "out": draw(2 * HIDDEN), "bias": np.float32(0)}
@@ -276,7 +276,8 @@ class Scorer:
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> list[tuple[str, int]]:
     """A bounded sample with both labels, in an order that only the rows decide; none of the held-out fold."""
-    usable = docs.filter(F.col(text).isNotNull() & ~held_out(F.col(doc_id)) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
+    usable = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("t"))
+    usable = usable.filter(F.col("t").isNotNull() & ~held_out(F.col("_id")) & (F.octet_length("t") <= SAMPLE_BYTES))
     named = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).groupBy("_id").agg(F.max("y").alias("y"))
     named = named.withColumn("h", F.shiftrightunsigned(F.xxhash64("_id"), 1))
     count = named.groupBy("y").agg(F.count("*").alias("n"))  # two rows
@@ -311,15 +312,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
             score = np.concatenate([scorer.scores(p) if p else np.zeros(0) for p in parts])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["_row", "score", "predicted"])
 
-    rows = docs.select(F.col(text).alias("_text"), F.struct(F.lit(0).alias("_"), *rest, held_out(F.col(doc_id)).alias("held_out")).alias("_row"))
+    rows = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(packed(rest).alias("row"), held_out(F.col(f"`{doc_id}`")).alias("held_out")).alias("_row"))
     out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, score double, predicted int")
-    return out.select(*(F.col("_row")[c].alias(c) for c in rest), "_row.held_out", "score", "predicted")
+    return out.select(*unpacked("_row.row", rest), "_row.held_out", "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with its columns."""
-    keep = toxicity(docs.withColumn("_text_kept", F.col(text)), labels, text, doc_id).filter("predicted = 0")
-    return keep.select(*(F.col("_text_kept").alias(c) if c == text else F.col(c) for c in docs.columns))
+    """The rows of ``docs`` that are not predicted toxic, with its columns, whatever their names.
+
+    Null and empty texts are scored as one empty window. Without rows of both labels to learn from, the score is the
+    label's share, so that nothing goes unless half of the labelled rows are toxic. Repeated rows are judged alike; an
+    empty table gives none.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), packed(docs.columns).alias("row"))
+    return toxicity(rows, labels.withColumnRenamed(doc_id, "doc_id")).filter("predicted = 0").select(*unpacked("row", docs.columns))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
