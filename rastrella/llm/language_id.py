@@ -10,34 +10,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among_least, held_out, table
+from .common import among_least, cut, held_out, table
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
-#: The training sample: so many rows of a language, of at most so many UTF-8 bytes each, for so many languages at most.
-SAMPLE_ROWS = 400
+#: The training sample: so many rows of a language, of at most so many UTF-8 bytes each; with many languages the rows of
+#: each become fewer, so that all together are ``SAMPLE_TOTAL`` at most, or ten of each.
+SAMPLE_ROWS, SAMPLE_TOTAL = 400, 40_000
 SAMPLE_BYTES = 32_768
-MOST_LANGUAGES = 200
 #: Follow-the-regularised-leader: step, smoothing, and the two elastic-net penalties.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.001
 EPOCHS = 4
 #: Scale of the term frequencies, which sum to it over a text.
 SCALE = 30.0
-_LETTER = re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"[^\W\d_]+")
+#: Places of a text whose n-grams are made at once.
 _CHUNK = 1 << 20
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters of the lower-cased text; figures that are no letters, such as superscripts, part them."""
+    out: list[str] = []
+    for run in _RUN.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
+def gram_slices(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of the letter runs, a slice of the text at a time; anything between two runs is one bound.
+
+    Slices overlap by the longest n-gram less one, so that cutting neither adds nor loses any.
+    """
+    points = np.frombuffer(("\0" + "\0".join(letter_runs(text)) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(points), _CHUNK):
+        out, stop = [], min(at + _CHUNK, len(points))
+        code = np.zeros(stop - at, np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            code = code[: max(0, len(points) - n + 1 - at)]
+            code = code * np.uint64(0x100000001B3) + points[at + n - 1 : at + n - 1 + len(code)] + np.uint64(n)
+            if n in ORDERS:
+                out.append((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS))
+        yield np.concatenate(out).astype(np.int64)
+
+
 def gram_ids(text: str) -> np.ndarray:
-    """Buckets of the n-grams of the lower-cased letter runs; anything between two runs is one bound."""
-    runs = re.findall(r"[^\W\d_]+", text.lower())
-    points = np.frombuffer(("\0" + "\0".join(runs) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    code = np.zeros(len(points), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        code = code[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :] + np.uint64(n)
-        if n in ORDERS:
-            out.append((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(list(gram_slices(text)))
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> dict:
@@ -64,7 +84,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> dict:
     rest = order[: len(order) // 5]
     fit = order[len(rest) :] if len(order) >= 10 else order
     k = len(labels)
-    z, n, zb, nb = np.zeros((size, k)), np.zeros((size, k)), np.zeros(k), np.zeros(k)
+    z, n, zb, nb = np.zeros((size, k), np.float32), np.zeros((size, k), np.float32), np.zeros(k), np.zeros(k)
 
     def solve(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -93,11 +113,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> dict:
 
 def predict(model: dict, text: str | None) -> tuple[str, float]:
     """Label and calibrated probability; ``und`` with 0 where there is no letter or nothing was learned."""
-    if not text or not model["labels"] or not _LETTER.search(text):
+    if not text or not model["labels"] or not any(map(str.isalpha, text)):
         return "und", 0.0
     total, n = np.zeros(len(model["labels"])), 0
-    for at in range(0, len(text), _CHUNK):
-        ids = gram_ids(text[at : at + _CHUNK])
+    for ids in gram_slices(text):
         total += model["weights"][ids].sum(axis=0, dtype=np.float64)
         n += len(ids)
     x = (total / n + model["bias"]) / model["temperature"]
@@ -108,11 +127,13 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 
 def training_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample, in an order that only the rows decide; rows of the held-out fold never enter."""
-    usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)) & (F.octet_length(text) <= SAMPLE_BYTES))
-    rows = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text)), 1).alias("h"))
-    frequent = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGUAGES)
-    near = rows.join(F.broadcast(frequent), "y").filter(among_least("h", "n", SAMPLE_ROWS)).drop("n")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).filter(F.col("r") <= SAMPLE_ROWS)
+    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("y"), F.col(f"`{doc_id}`").alias("i"))
+    rows = rows.filter(F.col("y").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")) & (F.octet_length("t") <= SAMPLE_BYTES))
+    rows = rows.select("t", "y", F.shiftrightunsigned(F.xxhash64("i", "t"), 1).alias("h"))
+    known = cut(rows.groupBy("y").agg(F.count("*").alias("n")))  # a row a language
+    most = max(10, min(SAMPLE_ROWS, SAMPLE_TOTAL // max(1, known.count())))
+    near = rows.join(known, "y").filter(among_least("h", "n", most)).drop("n")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).filter(F.col("r") <= most)
     return sorted((r["t"], r["y"]) for r in best.select("t", "y").collect())
 
 
@@ -120,7 +141,7 @@ def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` for every row of ``docs``.
 
     The model learns from a bounded sample of the rows outside the held-out fold; its size is bounded by the parameters
-    above. Whole texts are scored. Null texts and texts without a letter get ``und`` with score 0, as does everything
+    above. Every language of those rows can be predicted; the weights take 262 KB for each. Whole texts are scored. Null texts and texts without a letter get ``und`` with score 0, as does everything
     where no row can be learned from. Repeated rows each get a row; an empty table gives none; extra columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, text, doc_id, lang)))
