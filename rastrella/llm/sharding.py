@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +10,98 @@ from .common import cut, spread_rank, table, utf8_bytes
 SHARDS = 16
 
 
+class _Node:
+    """A node of an AVL tree."""
+
+    __slots__ = ("key", "left", "right", "height")
+
+    def __init__(self, key: tuple[int, int]) -> None:
+        self.key, self.left, self.right, self.height = key, None, None, 1
+
+
+def _height(node: _Node | None) -> int:
+    return node.height if node else 0
+
+
+def _turn(node: _Node, side: str, other: str) -> _Node:
+    """Rotate so that the child on ``other`` rises."""
+    top = getattr(node, other)
+    setattr(node, other, getattr(top, side))
+    setattr(top, side, node)
+    for n in (node, top):
+        n.height = 1 + max(_height(n.left), _height(n.right))
+    return top
+
+
+def _balanced(node: _Node) -> _Node:
+    node.height = 1 + max(_height(node.left), _height(node.right))
+    lean = _height(node.left) - _height(node.right)
+    if lean > 1:
+        if _height(node.left.left) < _height(node.left.right):
+            node.left = _turn(node.left, "left", "right")
+        return _turn(node, "right", "left")
+    if lean < -1:
+        if _height(node.right.right) < _height(node.right.left):
+            node.right = _turn(node.right, "right", "left")
+        return _turn(node, "left", "right")
+    return node
+
+
+def _insert(node: _Node | None, key: tuple[int, int]) -> _Node:
+    if node is None:
+        return _Node(key)
+    if key < node.key:
+        node.left = _insert(node.left, key)
+    else:
+        node.right = _insert(node.right, key)
+    return _balanced(node)
+
+
+def _remove(node: _Node, key: tuple[int, int]) -> _Node | None:
+    if key < node.key:
+        node.left = _remove(node.left, key)
+    elif key > node.key:
+        node.right = _remove(node.right, key)
+    elif node.left is None or node.right is None:
+        return node.left or node.right
+    else:
+        after = node.right
+        while after.left:
+            after = after.left
+        node.key = after.key
+        node.right = _remove(node.right, after.key)
+    return _balanced(node)
+
+
 class _Bins:
-    """Bins in a sorted sequence of (remaining, bin): the search tree of best fit, balanced by construction."""
+    """Bins in an AVL tree by (remaining, bin): the tightest fit, removal and insertion take logarithmic time."""
 
     def __init__(self, remaining: list[int]) -> None:
-        self.tree = sorted((r, i) for i, r in enumerate(remaining))
+        self.root = None
+        for i, r in enumerate(remaining):
+            self.put(r, i)
 
     def tightest(self, size: int) -> tuple[int, int] | None:
-        at = bisect_left(self.tree, (size, -1))
-        return self.tree.pop(at) if at < len(self.tree) else None
+        found, node = None, self.root
+        while node:
+            if node.key >= (size, -1):
+                found, node = node.key, node.left
+            else:
+                node = node.right
+        return self._take(found) if found else None
 
     def roomiest(self) -> tuple[int, int]:
-        return self.tree.pop()
+        node = self.root
+        while node.right:
+            node = node.right
+        return self._take(node.key)
+
+    def _take(self, key: tuple[int, int]) -> tuple[int, int]:
+        self.root = _remove(self.root, key)
+        return key
 
     def put(self, remaining: int, bin_: int) -> None:
-        insort(self.tree, (remaining, bin_))
+        self.root = _insert(self.root, (remaining, bin_))
 
 
 def best_fit_decreasing(histogram: list[tuple[int, int]], bins: int | None, capacity: int) -> list[tuple[int, int, int, int]]:
