@@ -22,53 +22,63 @@ END = 2
 MAGIC = b"RPTK"
 #: Tokens after which a shard is closed; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
-#: Symbols of a shard fit 16 bits.
-SYMBOLS = 1 << 16
+#: Symbols of a shard fit 16 bits, unless its vocabulary is larger or the grammar is to be complete.
+NARROW = 1 << 16
 #: A round replaces so many pairs at most, none seen more seldom than this; rounds end when symbols run out or when the
-#: pairs left are fewer than one in so many places of the sequence.
+#: pairs left are fewer than one in so many places of the sequence. A complete grammar has no such ends.
 ROUND_PAIRS, LEAST_COUNT, LEAST_SHARE = 8192, 8, 1000
-#: Pieces whose ids a worker keeps; beyond, it starts anew.
-CACHE = 1_200_000
+#: UTF-8 bytes of the pieces whose ids a worker keeps; beyond, it starts anew.
+CACHE_BYTES = 6 << 20
 #: Texts with any of these are encoded whole: white space other than a blank or line end, and two of those together.
 _WIDE_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("  ", "\n\n", " \n", "\n ")
 #: Characters of text that are encoded at once; a longer text is encoded alone.
-PART = 8 << 20
+PART = 3 << 20
 #: Pieces that the tokenizer gets as one text.
 GROUP = 256
-_ODD, _TO_SLOT = np.uint32(2654435761), np.uint32(14)
+_ODD, _TO_SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 
 
 # Re-Pair
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slot(pair: np.ndarray) -> np.ndarray:
+    """Place of a pair in a table of 2**18."""
+    return (pair.astype(np.uint64) * _ODD) >> _TO_SLOT
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, complete: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequence, rules and the places in the sequence where documents end, for token ids and their documents' ends.
 
     Each round counts all neighbouring pairs, takes the most frequent ones and replaces their occurrences, from the left
-    where they overlap, by new symbols. No pair reaches over a document's end, so every document stays a slice.
+    where they overlap, by new symbols. No pair reaches over a document's end, so every document stays a slice. With
+    ``complete`` symbols are 32 bits wide and rounds go on until no pair is found twice; else they end by the bounds
+    ``NARROW``, ``LEAST_COUNT`` and ``LEAST_SHARE``, which cost a little length and save most of the rounds.
     """
-    seq, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
+    wide = complete or first_symbol >= NARROW
+    kind, shift, symbols = (np.uint64, np.uint64(32), 1 << 32) if wide else (np.uint32, np.uint32(16), NARROW)
+    least, share = (2, None) if complete else (LEAST_COUNT, LEAST_SHARE)
+    seq, last = ids.astype(kind), np.zeros(len(ids), bool)
     last[ends - 1] = True
     rules = np.zeros((0, 2), np.uint32)
     while True:
-        room = min(ROUND_PAIRS, SYMBOLS - first_symbol - len(rules))
+        room = min(ROUND_PAIRS, symbols - first_symbol - len(rules))
         if len(seq) < 2 or room <= 0:
             break
-        pair = seq[:-1] << np.uint32(16) | seq[1:]
+        pair = seq[:-1] << shift | seq[1:]
         counted = np.sort(pair[~last[:-1]])
         start = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(counted) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(counted)))
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        if count[often].sum() * LEAST_SHARE < len(seq) or not len(often):
+        often = np.flatnonzero(count >= least)
+        if not len(often) or (share and count[often].sum() * share < len(seq)):
             break
         often = counted[start[often[np.lexsort((counted[start[often]], -count[often]))]]]
         # a table of hashes finds the pairs; of those in one slot the most frequent takes part in this round
         often = often[: 2 * room]
-        often = often[np.sort(np.unique((often * _ODD) >> _TO_SLOT, return_index=True)[1])[:room]]
+        often = often[np.sort(np.unique(_slot(often), return_index=True)[1])[:room]]
         chosen = np.sort(often)
         slot = np.full(1 << 18, -1, np.int16)
-        slot[(chosen * _ODD) >> _TO_SLOT] = np.arange(len(chosen), dtype=np.int16)
-        rank = slot[(pair * _ODD) >> _TO_SLOT]
+        slot[_slot(chosen)] = np.arange(len(chosen), dtype=np.int16)
+        rank = slot[_slot(pair)]
         at = np.flatnonzero((rank >= 0) & ~last[:-1])
         rank = rank[at]
         hit = chosen[rank] == pair[at]
@@ -78,14 +88,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
         run = np.flatnonzero(fresh)
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
         at, rank = at[odd], rank[odd]
-        present = np.bincount(rank, minlength=len(chosen)) > 0
+        present = np.bincount(rank, minlength=len(chosen)) > (complete and len(chosen) > 1)
+        if complete and not present.any():  # overlaps left none of them twice: the most frequent alone, so that rounds end
+            present[np.argmax(np.bincount(rank, minlength=len(chosen)))] = True
         used, new = np.flatnonzero(present), np.cumsum(present) - 1
-        seq[at] = (first_symbol + len(rules) + new[rank]).astype(np.uint32)
+        at, rank = at[present[rank]], rank[present[rank]]
+        seq[at] = (first_symbol + len(rules) + new[rank]).astype(kind)
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        rules = np.concatenate([rules, np.stack([chosen[used] >> np.uint32(16), chosen[used] & np.uint32(0xFFFF)], axis=1)])
+        rules = np.concatenate([rules, np.stack([chosen[used] >> shift, chosen[used] & ((kind(1) << shift) - kind(1))], axis=1).astype(np.uint32)])
     return seq, rules, np.flatnonzero(last) + 1
 
 
@@ -121,23 +134,27 @@ def expand(seq: np.ndarray, rules: np.ndarray, length: np.ndarray, first_symbol:
 # file format: header, rules, rule lengths, sequence, and for each document its end in the sequence and among the tokens
 
 
-def write_shard(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> bytes:
-    seq, rules, seq_ends = compress(ids, ends, first_symbol)
+_HEAD = "<4sIIIQQI"
+
+
+def write_shard(ids: np.ndarray, ends: np.ndarray, first_symbol: int, complete: bool = False) -> bytes:
+    seq, rules, seq_ends = compress(ids, ends, first_symbol, complete)
     lengths = expansion_lengths(rules, first_symbol)[first_symbol:]
-    head = struct.pack("<4sIIIQQ", MAGIC, first_symbol, len(rules), len(ends), len(seq), len(ids))
-    return b"".join([head, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq_ends.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), seq.astype("<u2").tobytes()])
+    width = 2 if first_symbol + len(rules) <= NARROW else 4
+    head = struct.pack(_HEAD, MAGIC, first_symbol, len(rules), len(ends), len(seq), len(ids), width)
+    return b"".join([head, rules.astype(f"<u{width}").tobytes(), lengths.astype("<u4").tobytes(), seq_ends.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), seq.astype(f"<u{width}").tobytes()])
 
 
 class Shard:
     """Reader of a shard's bytes; ``document(i)`` decodes nothing but the document."""
 
     def __init__(self, data: bytes) -> None:
-        magic, self.first, n_rules, n_docs, n_seq, self.n_tokens = struct.unpack_from("<4sIIIQQ", data)
+        magic, self.first, n_rules, n_docs, n_seq, self.n_tokens, width = struct.unpack_from(_HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = struct.calcsize("<4sIIIQQ")
+        at = struct.calcsize(_HEAD)
         parts = []
-        for kind, n in (("<u2", 2 * n_rules), ("<u4", n_rules), ("<u8", n_docs), ("<u8", n_docs), ("<u2", n_seq)):
+        for kind, n in ((f"<u{width}", 2 * n_rules), ("<u4", n_rules), ("<u8", n_docs), ("<u8", n_docs), (f"<u{width}", n_seq)):
             parts.append(np.frombuffer(data, kind, n, at))
             at += parts[-1].nbytes
         self.rules, self.lengths, self.seq_ends, self.ends, self.seq = parts[0].reshape(-1, 2), *parts[1:]
@@ -166,17 +183,21 @@ class Encoder:
     """Token ids of texts by the tokenizers library, with the ids of pieces between single blanks and line ends kept.
 
     The vocabulary's pre-tokenizer never joins characters over a single space (which begins the next piece) or a single
-    line end (a piece of its own), so pieces can be encoded apart. Texts with any other white space are encoded whole.
+    line end (a piece of its own), so pieces can be encoded apart. Texts with any other white space, or with the string of
+    an added token, which the library finds before it splits, are encoded whole.
     Arrow splits the texts of a part and numbers their different pieces; known pieces are then gathered by number.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        self.tokenizer = Tokenizer.from_buffer(data)
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values(), default=0) + 1
+        self.kind = np.uint16 if self.size <= NARROW else np.uint32
+        self.whole = (*_WIDE_SPACE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content))
+        begins = np.zeros(self.size, bool)
+        for token, i in vocabulary.items():
             begins[i] = token.startswith("Ġ")
         self.begins = begins
         self.newline_ids = self._ids("\n")
@@ -185,15 +206,16 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.flat, self.starts, self.stops = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = 0
+        self.flat, self.starts, self.stops = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _learn(self, missing: list[str], by: str) -> tuple[np.ndarray, np.ndarray]:
         """Encode pieces together; their ids, with the separator's in front of each, and where each begins."""
         groups = [by + by.join(missing[i : i + GROUP]) for i in range(0, len(missing), GROUP)]
-        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
         first = np.flatnonzero(self.begins[ids] if by == " " else ids == self.newline_id)
         assert len(first) == len(missing)
         return ids, first
@@ -225,7 +247,7 @@ class Encoder:
 
     def _gather(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without wide space."""
-        if len(self.slots) > CACHE:
+        if self.held > CACHE_BYTES:
             self._forget()
         lists = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         pieces = lists.values.dictionary_encode()
@@ -233,24 +255,25 @@ class Encoder:
         found = np.array(list(map(self.slots.get, keys, repeat(-1))), np.int64)
         fresh = np.flatnonzero(found < 0)
         if len(fresh):
+            self.held += int(pc.sum(pc.binary_length(pieces.dictionary.take(pa.array(fresh)))).as_py())
             self._add([keys[i] for i in fresh.tolist()])
             found[fresh] = [self.slots[keys[i]] for i in fresh.tolist()]
         slot = found[pieces.indices.to_numpy()]
         start, size = self.starts[slot], self.stops[slot] - self.starts[slot]
         before = np.concatenate([[0], np.cumsum(size)])
         raw = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])].tobytes()
-        ends = (2 * before[lists.offsets.to_numpy()]).tolist()
+        ends = (self.flat.itemsize * before[lists.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as 16-bit integers."""
+        """Ids of each text as 16-bit integers, or 32-bit ones for a larger vocabulary."""
         at = 0
         while at < len(texts):
             stop, size = at + 1, len(texts[at])
             while stop < len(texts) and size + len(texts[stop]) <= PART:
                 size += len(texts[stop])
                 stop += 1
-            wide = [any(c in t for c in _WIDE_SPACE) for t in texts[at:stop]]
+            wide = [any(c in t for c in self.whole) for t in texts[at:stop]]
             plain = iter(self._gather([t for t, w in zip(texts[at:stop], wide) if not w]))
             for t, w in zip(texts[at:stop], wide):
                 yield self._ids(t).tobytes() if w else next(plain)
@@ -261,42 +284,50 @@ class Encoder:
         return next(self.encode_all([text]))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(data: bytes) -> Encoder:
     """This process's encoder, kept from task to task."""
     state = sys.modules.setdefault("_rastrella_state", types.ModuleType("_rastrella_state"))
-    found = state.__dict__.get("encoder")
-    if found is None or found[0] != path:
-        found = state.encoder = (path, Encoder(path))
+    name, found = (len(data), zlib.crc32(data)), state.__dict__.get("encoder")
+    if found is None or found[0] != name:
+        found = state.encoder = (name, Encoder(data))
     return found[1]
 
 
 # Spark
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str, text: str = "text", doc_id: str = "doc_id", end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, folder: str, text: str = "text", doc_id: str = "doc_id", end: int = END, shard_tokens: int = SHARD_TOKENS, complete: bool = False) -> None:
     """Encode all documents in ascending order of identifier (null first) and write shards to ``folder``.
 
     Documents are range-partitioned and sorted by identifier (rows that share one by their text); each partition's
     documents fill shards of about ``shard_tokens`` ids, each with a Re-Pair grammar of its own. Spark's writer puts one
-    row a shard into Parquet files: part, shard, the identifiers, the number of tokens, and the shard's bytes.
+    row a shard into Parquet files: part, shard, the identifiers, the number of tokens, and the shard's bytes. The driver
+    reads the tokenizer's file at ``path`` and sends its bytes to the workers. With ``complete`` the grammars are too.
+
+    Null texts count as empty, repeated rows stay apart, an empty table gives no documents, extra columns are ignored.
+    Identifiers that are not whole numbers are kept as strings, and sorted as such.
     """
     spark = docs.sparkSession
+    with open(path, "rb") as file:
+        shipped = spark.sparkContext.broadcast(file.read())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[doc_id].dataType
     kind = "long" if id_type.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
     out = pa.int64() if kind == "long" else pa.string()
-    rows = docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast(kind).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        first_symbol = max(coder.tokenizer.get_vocab_size(), end + 1)
-        tail = np.array([end], np.uint16).tobytes()
+        coder = encoder(shipped.value)
+        first_symbol = max(coder.size, end + 1)
+        tail = np.array([end], coder.kind).tobytes()
+        width = len(tail)
         ids, parts, size, part, shard = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) // 2 for p in parts])
-            data = write_shard(np.frombuffer(b"".join(parts), np.uint16), ends, first_symbol)
+            ends = np.cumsum([len(p) // width for p in parts])
+            data = write_shard(np.frombuffer(b"".join(parts), coder.kind), ends, first_symbol, complete)
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.list_(out)), pa.array([int(ends[-1])], pa.int64()), pa.array([data], pa.binary())], names=["part", "shard", "ids", "n", "data"])
 
         for batch in batches:
@@ -305,7 +336,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, text: str = "text", do
             for name, raw in zip(names, coder.encode_all(texts)):
                 parts.append(raw + tail)
                 ids.append(name)
-                size += len(parts[-1]) // 2
+                size += len(parts[-1]) // width
                 if size >= shard_tokens:
                     yield close()
                     ids, parts, size, shard = [], [], 0, shard + 1
