@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -39,67 +40,143 @@ def test_text_rules(spark, hard_docs):
         assert perplexity.text_rules(t) == slow_rules(t)
 
 
-def slow_kneser_ney(grams):
-    """log p of each seen n-gram, from dictionaries of tuples."""
-    tables = {4: Counter(grams)}
-    for n in (3, 2, 1):
-        tables[n] = Counter(g[1:] for g in tables[n + 1])
-    p = {}
-    for n in (1, 2, 3, 4):
-        t = tables[n]
-        of = Counter(t.values())
-        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0.5
-        d = [0, 1 - 2 * y * of[2] / of[1] if of[1] else 0.5, 2 - 3 * y * of[3] / of[2] if of[2] else 1.0, 3 - 4 * y * of[4] / of[3] if of[3] else 1.5]
-        d = [0, *(min(max(x, 0.1), m) for x, m in zip(d[1:], (0.95, 1.95, 2.9)))]
-        total, spare = Counter(), Counter()
-        for g, c in t.items():
-            total[g[:-1]] += c
-            spare[g[:-1]] += d[min(c, 3)]
-        for g, c in t.items():
-            base = p[g[1:]] if n > 1 else 1 / 64
-            p[g] = (c - d[min(c, 3)]) / total[g[:-1]] + spare[g[:-1]] / total[g[:-1]] * base
-    return {g: math.log(x) for g, x in p.items() if len(g) == 4}
-
-
-def unpack(code):
-    return tuple(int(code) >> s & 63 for s in (18, 12, 6, 0))
-
-
-def test_kneser_ney_matches_dictionaries():
-    kind = perplexity.symbol_table()
-    codes, lengths = perplexity.gram_codes(["The cat sat on the mat, the cat!", "", "a", "the hat ÉÉ 123"], kind)
-    assert lengths.tolist() == [33, 1, 2, 15] and len(codes) == 51
-    unique, counts = np.unique(codes, return_counts=True)
-    model = perplexity.kneser_ney(unique, counts)
-    want = slow_kneser_ney([unpack(c) for c in codes])
-    got = perplexity.gram_scores(model, codes)
-    assert np.allclose(got, [want[unpack(c)] for c in codes], atol=1e-5)
-    rare = perplexity.gram_scores(model, perplexity.gram_codes(["zzz thq"], kind)[0])
-    assert np.isfinite(rare).all() and rare.min() < -2
-    # in a seen context the probabilities of all symbols sum to one
-    context = int(codes[10]) >> 6 << 6
-    assert np.exp(perplexity.gram_scores(model, np.arange(context, context + 64, dtype=np.uint32)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+def slow_words(text):
+    dense = re.compile("[\u4e00-\u9fff\u3040-\u30ff]")
+    return re.findall(f"{dense.pattern}|[^\\x20\\x09-\\x0D{dense.pattern[1:]}+", text)
+
+
+def _mix(x):
+    x &= (1 << 64) - 1
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return x ^ x >> 29
+
+
+_ODD64 = 0x9E3779B97F4A7C15
+
+
+def slow_log_ppl(texts, share=perplexity.SHARE, contexts=perplexity.CONTEXTS):
+    """Perplexities of one language's texts from plain dictionaries."""
+    h = lambda w: xxhash.xxh64_intdigest(w.encode())
+    docs = [slow_words(t) for t in texts]
+    halves = []
+    for d in docs:
+        keys = []
+        for i in range(min(2, len(d) - 1), len(d)):
+            keys.append(_mix(sum(_mix((h(d[i - b]) + b) * _ODD64) for b in range(3) if i >= b)))
+        halves.append((min(keys) * _ODD64 & (1 << 64) - 1) >> 63 if keys else 0)
+    bit = lambda c: _mix(c * _ODD64) >> 58
+    total = sum(map(len, docs))
+    least = max(2, math.ceil(share * total))
+    everywhere = Counter(w for d in docs for w in d)
+    frequent = {w for w, n in everywhere.items() if n >= least and n * perplexity.FREQUENT >= total}
+
+    def estimate(n, bits):
+        return n if len(bits) > 60 else min(n, int(math.floor(-64 * math.log(1 - len(bits) / 64) + 0.5)))
+
+    models = []
+    for f in (0, 1):
+        own = [d for d, x in zip(docs, halves) if x == f]
+        n, left, pairs, around = Counter(), defaultdict(set), Counter(), defaultdict(set)
+        for d in own:
+            for i, w in enumerate(d):
+                n[w] += 1
+                left[w].add(bit(h(d[i - 1]) if i else 0))
+                if i and w in frequent and d[i - 1] in frequent:
+                    pairs[d[i - 1], w] += 1
+                    around[d[i - 1], w].add(bit((h(d[i - 2]) if i > 1 else 0) * 3 + (h(d[i + 1]) if i + 1 < len(d) else 0)))
+        c = {w: estimate(k, left[w]) for w, k in n.items()}
+        t, kinds = sum(c.values()), len(c)
+        if not t:
+            models.append(None)
+            continue
+        cc = Counter(c.values())
+        d1 = perplexity.discounts(*(cc[i] for i in (1, 2, 3, 4)))
+        spare = sum(d1[min(x, 3)] for x in c.values()) / t
+        p1 = {w: (c.get(w, 0) - (d1[min(c[w], 3)] if w in c else 0)) / t + spare / (kinds + 1) for w, k in everywhere.items() if k >= least}
+        rest = max(1 - sum(p1.values()), spare / (kinds + 1)) / (kinds - sum(w in c for w in p1) + 1)
+        models.append((n, pairs, around, p1, rest))
+    both = Counter()
+    for m in models:
+        both += m[1] if m else Counter()
+    out = []
+    for d, x in zip(docs, halves):
+        m = models[1 - x]
+        if m is None:
+            out.append(math.log(len(everywhere) + 1) if d else 0)
+            continue
+        n, pairs, around, p1, rest = m
+        cc = Counter(pairs.values())
+        off = perplexity.discounts(*(cc[i] for i in (1, 2, 3, 4)))[3] if both else 0.5
+        sums, part = Counter(), {}
+        for pair, k in pairs.items():
+            if both[pair] >= least and estimate(k, around[pair]) >= contexts:
+                part[pair] = max(0, k - off) / max(1, n[pair[0]])
+                sums[pair[0]] += part[pair]
+        lp = 0
+        for i, w in enumerate(d):
+            p = p1.get(w, rest)
+            if i and d[i - 1] in frequent:
+                p = part.get((d[i - 1], w), 0) + min(1, max(1e-6, 1 - sums[d[i - 1]])) * p
+            lp -= math.log(p)
+        out.append(lp / max(1, len(d)))
+    return out
+
+
+def test_kneser_ney_matches_dictionaries(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en' and n_chars < 3000").select("text").collect()]
+    texts += ["", "one", "two words", "日本語 のテキスト 日本", "the the the", None, texts[0], texts[0] + " more"]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    want = slow_log_ppl([t or "" for t in texts])
+    for parts in (1, 4):
+        got = {r["doc_id"]: r["log_ppl"] for r in perplexity.quality(docs.repartition(parts)).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-4)
+    model = perplexity.build_model(docs.select(F.lit("x").alias("lang"), F.coalesce("text", F.lit("")).alias("text")))["x"]
+    assert len(model["pairs"]) > 20 and all((np.diff(model[k].astype(np.float64)) > 0).all() for k in ("words", "frequent", "pairs"))
+
+
+def test_near_copies_share_a_half():
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        texts += [" ".join(words), " ".join([*words[:60], "changed", *words[61:]])]
+    half = perplexity.Words(texts).half
+    assert (half[::2] == half[1::2]).mean() > 0.93 and 0.4 < half.mean() < 0.6
 
 
 def test_quality(spark, hard_docs, no_docs):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for frame in (docs, hard_docs):
-        a = {tuple(r)[:6]: r for r in perplexity.quality(frame).collect()}
-        b = {tuple(r)[:6]: r for r in perplexity.quality(frame, model_bytes=0).collect()}
-        assert a.keys() == b.keys() and all(a[k]["log_ppl"] == pytest.approx(b[k]["log_ppl"], abs=1e-4) for k in a)
-        for r in a.values():
+        rows = perplexity.quality(frame).collect()
+        assert len(rows) == frame.count()
+        texts = Counter((r["doc_id"], *slow_rules(r["text"] or "")) for r in frame.collect())
+        assert texts == Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows)
+        for r in rows:
             assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
-            assert r["kept"] == (not r["base_failed"] and r["lower"] <= r["log_ppl"] <= r["upper"])
-    counted = perplexity.count_grams(docs.select("lang", "text")).agg(F.sum("n")).first()[0]
-    assert counted == sum(len(r["text"].lower()) + 1 for r in docs.collect())
-    good = perplexity.quality(spark.read.parquet(f"{SMALL}/documents.parquet")).join(spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1"), "doc_id").filter("not base_failed")
-    assert good.filter("kept").count() >= 0.99 * good.count()
+            assert r["kept"] == (not r["base_failed"] and (r["lower"] is None or r["lower"] <= r["log_ppl"] <= r["upper"]))
+        again = sorted(map(repr, perplexity.quality(frame.repartition(3)).collect()))
+        assert len(again) == len(rows) and sum("kept=True" in r for r in again) == sum(r["kept"] for r in rows)
     assert perplexity.quality(no_docs).count() == 0
 
 
-def test_bands_reject_more_than_the_farthest(spark):
-    rows = perplexity.quality(spark.read.parquet(f"{SMALL}/documents.parquet")).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").filter("quality = 0 and not base_failed").collect()
-    assert sum(not r["kept"] for r in rows) >= 0.15 * len(rows) > 0
+def test_bands_are_medians(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"l{i % 2}", float(rng.normal(9, 0.5)), int(rng.integers(10, 900)), bool(i % 11 == 0)) for i in range(999)]
+    got = {r["lang"]: r for r in perplexity.bands(spark.createDataFrame(rows, "lang string, log_ppl double, n_words long, base_failed boolean")).collect()}
+    for lang in ("l0", "l1"):
+        good = np.array([(x, n) for a, x, n, failed in rows if a == lang and not failed])
+        off = np.abs(good[:, 0] - np.median(good[:, 0]))
+        assert got[lang]["middle"] == pytest.approx(np.median(good[:, 0]), abs=0.01)
+        assert got[lang]["spread"] == pytest.approx(1.4826 * np.median(off), abs=0.02)
+        assert got[lang]["by_length"] == pytest.approx(1.4826 * np.median(off * np.sqrt(good[:, 1])), rel=0.05)
+
+
+def test_bands_reject_bad_documents_and_keep_good_ones(spark):
+    """On the fold that no figure was chosen on."""
+    data = "/root/testdata/sf0.1"
+    rows = perplexity.quality(spark.read.parquet(f"{data}/documents.parquet")).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("not base_failed and crc32(cast(doc_id as string)) % 5 = 0").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(bad) > 50 and sum(good) >= 0.985 * len(good) and sum(bad) <= 0.4 * len(bad)
 
 
 # language
