@@ -347,7 +347,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def main_text(page):
-    return " ".join(b.text for b in html_text.split_page(page)[0])
+    return " ".join(t for t, _ in html_text.split_page(page)[0])
 
 
 def test_rules():
@@ -372,7 +372,44 @@ def slow_cover(pages):
     return out
 
 
-def test_repeats_across_pages_are_removed(spark):
+def test_suffix_array_is_sorted_to_its_depth():
+    rng = np.random.default_rng(6)
+    for n, kinds in ((0, 2), (3, 2), (400, 2), (2000, 5), (500, 300)):
+        tokens, page = rng.integers(0, kinds, n).astype(np.uint64), np.sort(rng.integers(0, 12, n))
+        host = (page % 3).astype(np.uint64)
+        order, begins = html_text.suffix_array(tokens, host, page)
+        whole = [i for i in range(n - html_text.LONG + 1) if page[i] == page[i + html_text.LONG - 1]]
+        key = lambda i: (host[i], *tokens[i : i + html_text.LONG].tolist())  # noqa: B023, E731
+        assert order.tolist() == sorted(whole, key=lambda i: (key(i), i))
+        assert begins.tolist() == [k for k in range(len(order)) if not k or key(order[k]) != key(order[k - 1])]
+
+
+def test_weak_words_only_suggest(spark):
+    line = "all rights reserved by the owner of this site"
+    page = "<article><p>{0} text of its own</p><div class='legal'>{0} is a unique remark within the law</div><div id='copyright'>" + line + "</div></article>"
+    rows = [(i, f"http://h/{i}", page.format(f"page{i}")) for i in range(3)]
+    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert got[i]["text"] == f"page{i} text of its own page{i}" and got[i]["n_open"] == 8 + 9 and got[i]["n_cut"] == 7 + 9
+
+
+def test_repeats_alone_find_the_boilerplate_of_marked_pages(spark):
+    """Without markup, on hosts with many pages: what repeats is cut and unique text stays."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        host = f"host{i % 2}"
+        own = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))
+        rows.append((i, f"http://{host}/{i}", f"<nav>Home News Sports Weather Contact About {host}</nav><article><p>{own}</p></article><footer>{host} is a member of the group of local newspapers</footer>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    by_repeats = {r["page_id"]: r["text"] for r in html_text.extract(frame, trust_markup=False).collect()}
+    by_markup = {r["page_id"]: r["text"] for r in html_text.extract(frame).collect()}
+    assert by_repeats == by_markup
+
+
+@pytest.mark.parametrize("stream", [html_text.STREAM, 50])
+def test_repeats_across_pages_are_removed(spark, monkeypatch, stream):
+    monkeypatch.setattr(html_text, "STREAM", stream)
     rng = np.random.default_rng(2)
     pages = []
     for i in range(60):
