@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,6 @@ HOT_KEY = 1024
 BLOCK = 512
 #: The bits of sets with fewer shingles scatter more: so many are added to their budget.
 SMALL_SET, SMALL_MORE = 16, 24
-#: While the pairs left are more than this many for each key of a set, another round of stars is tried first.
-MOST_PAIRS = 8
 
 
 def fingerprint(text: bytes | None, words: int) -> int:
@@ -250,7 +248,7 @@ def sketch(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_i
 
 
 def meeting_keys(nodes: DataFrame, similarity: float, hot_bucket: int = HOT_KEY) -> DataFrame:
-    """``(gram, node, m)``: the shingles on which each of ``nodes (node, n, least)`` is to meet others, and how many meet.
+    """``(gram, node, n, keys)``: the shingles on which each of ``nodes (node, n, least)`` is to meet others; ``keys`` has all of a node.
 
     Two similar sets share each of their smallest hashes with at least the chance ``similarity``, so of ``KEYS`` ones
     that other sets have too they miss all with ``(1 - similarity) ** KEYS`` at most, less than one pair in ten thousand.
@@ -261,24 +259,45 @@ def meeting_keys(nodes: DataFrame, similarity: float, hot_bucket: int = HOT_KEY)
     held = keyed.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
     met = keyed.join(held, "gram").withColumn("hot", F.col("m") > hot_bucket)
     mine = Window.partitionBy("node")
-    ranked = met.withColumn("cold", F.col("k") - F.sum(F.col("hot").cast("int")).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("hot", F.col("gram"))))
+    ranked = met.withColumns({"cold": F.col("k") - F.sum(F.col("hot").cast("int")).over(mine), "r": F.row_number().over(mine.orderBy("hot", "gram")), "all": F.row_number().over(mine.orderBy("gram"))})
     needed = F.least(F.lit(KEYS + 4), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
-    kept = ranked.filter(F.when(F.col("hot"), F.col("cold") < needed).otherwise(F.col("r") <= KEYS)).select("gram", "node")
-    sizes = kept.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
-    return kept.join(sizes, "gram")
+    kept = ranked.filter((~F.col("hot") & (F.col("r") <= KEYS)) | ((F.col("cold") < needed) & (F.col("all") <= KEYS)))
+    return kept.select("gram", "node", "n", F.sort_array(F.collect_list("gram").over(mine)).alias("keys"))
 
 
 def _in_blocks(met: DataFrame) -> DataFrame:
-    """Rows of ``met (gram, m, node, ...)`` by ``run``: the pairs of blocks into which a bucket of ``m`` is cut.
+    """Rows of ``met (gram, node, ...)`` by ``run``: the pairs of blocks into which a large bucket is cut.
 
     Every two rows of a bucket meet in one run; ``side`` tells the blocks of a run apart, -1 where it is one block.
     """
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    sizes = met.groupBy("gram").agg(F.count("*").alias("_m")).filter("_m > 1")
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("_b")).cast("int")
-    spread = met.withColumn("_b", blocks).withColumn("_i", own).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    spread = met.join(sizes, "gram").withColumn("_b", F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int")).withColumn("_i", own)
+    spread = spread.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     run = F.xxhash64("gram", F.least("_i", "_j"), F.greatest("_i", "_j"))
     side = F.when(F.col("_i") == F.col("_j"), -1).otherwise((F.col("_i") > F.col("_j")).cast("int"))
-    return spread.withColumn("run", run).withColumn("side", side).drop("_b", "_i", "_j", "gram", "m")
+    return spread.withColumn("run", run).withColumn("side", side).drop("_b", "_i", "_j", "_m")
+
+
+def _by_run(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``work`` on batches of whole runs; a run has two blocks at most, but may go over many batches of the input."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        for whole in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+            yield work(whole)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run = batch.column(0).to_numpy()
+        end = int(np.searchsorted(run, run[-1]))
+        if end or (held and held[-1].column(0)[0] != batch.column(0)[0]):
+            held.append(batch.slice(0, end))
+            yield from joined()
+            held = []
+        held.append(batch.slice(end))
+    yield from joined()
 
 
 def ring_pass(differences: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -300,8 +319,11 @@ def ring_pass(differences: np.ndarray, most: np.ndarray) -> np.ndarray:
     return found
 
 
-def _close_pairs(run: np.ndarray, side: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the runs of rows sorted by run that size, ring and Hamming distance leave."""
+def _close_pairs(run: np.ndarray, side: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the runs of rows sorted by run that size, ring and Hamming distance leave.
+
+    Pairs that ``root`` has connected meanwhile are left out.
+    """
     budget, step, alive = bit_budget(similarity), 1, np.arange(len(run))
     while True:
         alive = alive[alive < len(run) - step]
@@ -310,7 +332,9 @@ def _close_pairs(run: np.ndarray, side: np.ndarray, n: np.ndarray, root: np.ndar
             return
         other = alive + step
         low, high = np.minimum(n[alive], n[other]), np.maximum(n[alive], n[other])
-        ok = ((side[alive] < 0) | (side[alive] != side[other])) & (low >= similarity * high - 1e-9) & (root[alive] != root[other])
+        ok = ((side[alive] < 0) | (side[alive] != side[other])) & (low >= similarity * high - 1e-9)
+        if root is not None:
+            ok &= root[alive] != root[other]
         a, b, low = alive[ok], other[ok], low[ok]
         if len(a):
             differences = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
@@ -322,99 +346,103 @@ def _close_pairs(run: np.ndarray, side: np.ndarray, n: np.ndarray, root: np.ndar
         step += 1
 
 
-def _compare(met: DataFrame, similarity: float, pairs: bool) -> DataFrame:
-    """Of ``met (gram, m, node, root, n, fp)``, the nodes that are close to another of their bucket, or the close ``pairs``."""
+def _segments(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, SEGMENTS)
 
-    def links(batch: pa.RecordBatch) -> pa.RecordBatch:
-        run, side, node, root, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        fp = batch.column(5).flatten().to_numpy().view(np.uint64).reshape(-1, SEGMENTS)
-        found = list(_close_pairs(run, side, n, root, fp, similarity))
-        if not pairs:
-            touched = np.unique(np.concatenate([np.zeros(0, np.int64), *(node[x] for pair in found for x in pair)]))
-            return pa.RecordBatch.from_arrays([pa.array(touched)], names=["node"])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(node[pair[i]] for pair in found)]) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # a run has two blocks at most, but may go over many batches
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            run = batch.column(0).to_numpy()
-            end = int(np.searchsorted(run, run[-1]))
-            if end or (held and held[-1].column(0)[0] != batch.column(0)[0]):
-                whole = pa.Table.from_batches([*held, batch.slice(0, end)]).combine_chunks().to_batches()
-                if whole:
-                    yield links(whole[0])
-                held = []
-            held.append(batch.slice(end))
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-            if whole:
-                yield links(whole[0])
-
-    rows = _in_blocks(met).select("run", "side", "node", "root", "n", "fp").repartition("run").sortWithinPartitions("run", "node")
-    return rows.mapInArrow(work, "u long, v long" if pairs else "node long").distinct()
+def candidates(met: DataFrame, similarity: float) -> DataFrame:
+    """Of ``met (gram, node, n, fp, keys)``, the different ``(gram, node)`` of sets that come close to another in the bucket.
+
+    A pair counts in the bucket of the first key that both have, and in no other.
+    """
+
+    def touched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        run, side, gram, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        lists, found = batch.column(6), [np.zeros(0, np.int64)]
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        width = int(np.diff(starts).max(initial=0))
+        place = starts[:-1, None] + np.minimum(np.arange(width), np.diff(starts)[:, None] - 1)  # shorter lists repeat their last key
+        keys = flat[place]
+        for a, b in _close_pairs(run, side, n, _segments(batch.column(5)), similarity):
+            for at in range(0, len(a), 1 << 14):
+                x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                shared = (keys[x][:, :, None] == keys[y][:, None, :]).any(axis=2)
+                first = keys[x][np.arange(len(x)), np.argmax(shared, axis=1)]
+                here = first == gram[x]
+                found += [x[here], y[here]]
+        at = np.unique(np.concatenate(found))
+        return pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(node[at])], names=["gram", "node"])
+
+    rows = _in_blocks(met).select("run", "side", "gram", "node", "n", "fp", "keys").repartition("run").sortWithinPartitions("run", "node")
+    return rows.mapInArrow(lambda batches: _by_run(batches, touched), "gram long, node long").distinct()
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, doc_id: str) -> DataFrame:
-    """``(node, grams)`` of the nodes ``wanted (node, doc_id)``, each made anew from the text of its smallest row."""
+    """``(node, n, fp, grams)`` of the nodes ``wanted (node, doc_id)``, each made anew from the text of its smallest row.
+
+    For the comparison of two sets the halves of their hashes are enough: that two of a thousand shingles share one, and
+    so change an overlap by one, has a chance of about one in ten thousand.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in made], np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made or [np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), grams], names=["node", "grams"])
+            halves = (np.concatenate(made or [np.zeros(0, np.uint64)]) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            prints = np.concatenate([np.zeros(0, np.uint64), *map(wide_fingerprint, made)]).view(np.int64)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, len(prints) + 1, SEGMENTS, dtype=np.int32)), pa.array(prints))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.diff(ends).astype(np.int64)), fp, pa.ListArray.from_arrays(pa.array(ends), pa.array(halves))], names=["node", "n", "fp", "grams"])
 
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
     texts = texts.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
-    sets = texts.mapInArrow(run, "node long, grams array<long>")
-    return sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    sets = texts.mapInArrow(run, "node long, n long, fp array<long>, grams array<int>")
+    return sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "grams")))
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, text: str, doc_id: str, hot_bucket: int = HOT_KEY) -> DataFrame:
     """Links ``(u, v)`` that connect the similar sets of ``nodes (node, n, fp, least, doc_id)``.
 
-    Sets meet on a few of their shingles; within a bucket, size, ring chains and the whole Hamming distance of the wide
-    fingerprints leave the candidates, and their whole sets are compared. Buckets are first contracted by stars (each set
-    against one of its bucket, another one each turn), so that a group of many near copies makes a link a copy, not all
-    pairs; the rest is compared block by block. What is already connected isn't compared.
+    Sets meet on a few of their shingles. Within a bucket, size, ring chains and the whole Hamming distance of the wide
+    fingerprints leave the candidates; the whole sets of these are made once more and compared. A bucket is compared
+    block by block, and a run of two blocks gives a spanning forest, not pairs, so that what is made follows the sets.
     """
-    figures = nodes.select("node", "n", "fp")
-    keys = cut(meeting_keys(nodes, similarity, hot_bucket))
-    met = keys.join(figures, "node").withColumn("root", F.col("node"))
-    touched = cut(_compare(met, similarity, pairs=False))
-    sets = cut(_whole_sets(docs, nodes.join(touched, "node").select("node", "doc_id"), words, text, doc_id))
-    buckets = cut(keys.join(touched, "node").select("gram", "node"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of ``pairs (u, v)``, those that are similar."""
-        a, b = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"g_{k}")) for k in "uv")
-        both, total = F.size(F.array_intersect("g_u", "g_v")), F.size("g_u") + F.size("g_v")
-        return pairs.join(a, "u").join(b, "v").filter(both * (1 + similarity) >= F.lit(similarity) * total - 1e-9).select("u", "v")
-
-    budget, links, left = bit_budget(similarity), None, None
-    while True:
-        roots = components(links) if links is not None else buckets.select("node", F.col("node").alias("root")).limit(0)
-        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = named.groupBy("gram", "root").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).filter("k > 1")
-        met = cut(named.join(open_.select("gram", "m", "q"), "gram").join(figures, "node"))
-        before, size = left, met.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("m") - F.col("q") / F.col("m")) / 2), F.lit(0.0)).alias("left")).first()
-        left = size["left"]
-        if left <= MOST_PAIRS * size["n"] or (before is not None and left > 0.7 * before):
-            break
-        centre = met.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(left)), F.struct("node", "n", "root", "fp").alias("s")))["s"].alias("s"))
-        apart = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("s.fp")[i])) for i in range(SEGMENTS)), F.lit(0))
-        most = F.when(F.least("n", "s.n") < SMALL_SET, budget + SMALL_MORE).otherwise(budget)
-        in_reach = (F.col("root") != F.col("s.root")) & (F.least("n", "s.n") >= F.lit(similarity) * F.greatest("n", "s.n") - 1e-9) & (apart <= most)
-        star = met.join(centre, "gram").filter(in_reach).select(F.least("node", "s.node").alias("u"), F.greatest("node", "s.node").alias("v")).distinct()
-        links = cut(near(star) if links is None else links.unionByName(near(star)))
-    rest = near(_compare(met.select("gram", "m", "node", "root", "n", "fp"), similarity, pairs=True))
-    return rest if links is None else links.unionByName(rest)
+
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        run, side, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        lists = batch.column(5)
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets: dict[int, frozenset] = {}
+        root, u, v = np.arange(len(run)), [], []
+
+        def of(i: int) -> frozenset:
+            if i not in sets:
+                if len(sets) > 4 * BLOCK:  # runs follow each other: those before are not needed again at once
+                    sets.clear()
+                sets[i] = frozenset(flat[starts[i] : starts[i + 1]].tolist())
+            return sets[i]
+
+        # run by run, as what is connected need not be compared
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(run))
+        fp = _segments(batch.column(4))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            sets.clear()
+            own = root[lo:hi]
+            for xs, ys in _close_pairs(run[lo:hi], side[lo:hi], n[lo:hi], fp[lo:hi], similarity, own):
+                for x, y in zip(xs.tolist(), ys.tolist()):
+                    if own[x] != own[y] and len(of(lo + x) & of(lo + y)) * (1 + similarity) >= similarity * (n[lo + x] + n[lo + y]) - 1e-9:
+                        own[own == own[y]] = own[x]
+                        u.append(lo + x)
+                        v.append(lo + y)
+        return pa.RecordBatch.from_arrays([pa.array(node[np.array(u, np.int64)]), pa.array(node[np.array(v, np.int64)])], names=["u", "v"])
+
+    met = meeting_keys(nodes, similarity, hot_bucket).join(nodes.select("node", "fp"), "node")
+    close = cut(candidates(met, similarity))
+    wanted = nodes.select("node", "doc_id").join(close.select("node").distinct(), "node")
+    rows = _in_blocks(close).join(_whole_sets(docs, wanted, words, text, doc_id), "node")
+    rows = rows.select("run", "side", "node", "n", "fp", "grams").repartition("run").sortWithinPartitions("run", "node")
+    return rows.mapInArrow(lambda batches: _by_run(batches, linked), "u long, v long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", hot_bucket: int = HOT_KEY) -> DataFrame:
