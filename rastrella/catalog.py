@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastrella.functions import geo, pixels, requests
+from rastrella.operators import blocks
 from rastrella.operators import raster as op
 from rastrella.plans import strategy
 from rastrella.sources import images
@@ -165,40 +166,40 @@ _CLIP = "least(255, greatest(0, ({v} + 33554432 + 131072) >> 18))"
 
 
 @query(
-    duck("rgb")
-    + ", e AS (SELECT *, (CASE WHEN x = 48 THEN 2 ELSE 1 END) * (CASE WHEN y = 198 THEN 2 ELSE 1 END) AS w FROM rgb WHERE x < 49 AND y < 199), s AS (SELECT CAST(floor(y / 2) AS INTEGER) AS by_, CAST(floor(x / 2) AS INTEGER) AS bx, CAST(sum(r * w) AS BIGINT) r, CAST(sum(g * w) AS BIGINT) g, CAST(sum(b * w) AS BIGINT) b FROM e GROUP BY 1, 2) "
+    duck("rgb")[:-1]
+    + ", sz AS (SELECT max(x) AS mx, max(y) AS my FROM rgb), e AS (SELECT rgb.*, (CASE WHEN x = mx AND mx % 2 = 0 THEN 2 ELSE 1 END) * (CASE WHEN y = my AND my % 2 = 0 THEN 2 ELSE 1 END) AS w FROM rgb, sz), s AS (SELECT CAST(floor(y / 2) AS INTEGER) AS by_, CAST(floor(x / 2) AS INTEGER) AS bx, CAST(sum(r * w) AS BIGINT) r, CAST(sum(g * w) AS BIGINT) g, CAST(sum(b * w) AS BIGINT) b FROM e GROUP BY 1, 2) "
     + f"SELECT by_ AS \"by\", bx, CAST({_CLIP.format(v='(-9719 * r - 19081 * g + 28800 * b)')} AS INTEGER) AS u, CAST({_CLIP.format(v='(28800 * r - 24116 * g - 4684 * b)')} AS INTEGER) AS v FROM s"
 )
 def yuv420_planes(spark, sf_dir):
-    return op.chroma_420(raster(spark, sf_dir, "rgb").filter("x < 49 and y < 199"), 49, 199)
+    px = raster(spark, sf_dir, "rgb")
+    return op.chroma_420(px, *px.agg(F.max("x") + 1, F.max("y") + 1).first())
 
 
 # features
 
 
-def _stacked(spark, sf_dir, *bands):
-    sampled = op.resample_same(_levels(spark, sf_dir), ["v", "a"], ["band"]).withColumn("a", pixels.trunc(F.col("a")))
-    return op.stack(sampled, bands)
+def _feature(spark, sf_dir, name: str, *bands: int) -> DataFrame:
+    return blocks.combine(_levels(spark, sf_dir), name, bands)
 
 
 @query(_coloured(*[_trunc(_sat("(i + 1) / 2") + " * 255")] * 3))
 def nd_unspec(spark, sf_dir):
-    return op.colour_feature(_stacked(spark, sf_dir, 0, 1), "ND_UNSPEC")
+    return _feature(spark, sf_dir, "ND_UNSPEC", 0, 1)
 
 
 @query(_ramped("NDVI"))
 def ndvi(spark, sf_dir):
-    return op.colour_feature(_stacked(spark, sf_dir, 0, 1), "NDVI")
+    return _feature(spark, sf_dir, "NDVI", 0, 1)
 
 
 @query(_ramped("NDMI"))
 def ndmi(spark, sf_dir):
-    return op.colour_feature(_stacked(spark, sf_dir, 0, 1), "NDMI")
+    return _feature(spark, sf_dir, "NDMI", 0, 1)
 
 
 @query(_ramped("NDWI"))
 def ndwi(spark, sf_dir):
-    return op.colour_feature(_stacked(spark, sf_dir, 0, 1), "NDWI")
+    return _feature(spark, sf_dir, "NDWI", 0, 1)
 
 
 def _bright(b: str) -> str:
@@ -207,21 +208,40 @@ def _bright(b: str) -> str:
 
 @query(_coloured(*(f"CASE WHEN i > 0.42 THEN {snow} ELSE {_bright(b)} END" for snow, b in ((0, "b2"), (204, "b0"), (255, "b3")))))
 def ndsi(spark, sf_dir):
-    return op.colour_feature(_stacked(spark, sf_dir, 0, 1, 2, 3), "NDSI")
+    return _feature(spark, sf_dir, "NDSI", 0, 1, 2, 3)
 
 
 @query(_coloured(*(_trunc(_sat(f"cbrt(CAST(0.6 AS DOUBLE) * {b} / CAST(65535 AS DOUBLE) - CAST(0.035 AS DOUBLE))") + " * 255") for b in ("b0", "b1", "b2"))))
 def hons(spark, sf_dir):
-    return op.colour_feature(_stacked(spark, sf_dir, 0, 1, 2), "HONS")
+    return _feature(spark, sf_dir, "HONS", 0, 1, 2)
 
 
 @query(
     _SAMPLED.replace("AS v, CASE", ">> 8 AS v, CASE", 1) + "SELECT y, x, " + ", ".join(f"{_trunc(b)} AS {n}" for b, n in (("b0", "r"), ("b1", "g"), ("b2", "b"))) + ", a FROM st"
 )
 def rgb_composite(spark, sf_dir):
-    levels = _levels(spark, sf_dir).withColumn("v", pixels.to_8bit(F.col("v")))
-    sampled = op.resample_same(levels, ["v", "a"], ["band"])
-    return op.composite(op.stack(sampled.withColumns({c: pixels.trunc(F.col(c)) for c in "va"}), (0, 1, 2)))
+    return blocks.combine(_levels(spark, sf_dir).withColumn("v", pixels.to_8bit(F.col("v"))), "", (0, 1, 2))
+
+
+_HALF = ", half AS (SELECT CAST(y / 2 AS INTEGER) AS y, CAST(x / 2 AS INTEGER) AS x, CAST(v AS DOUBLE) AS v FROM px WHERE band = 1 AND x % 2 = 0 AND y % 2 = 0)"
+#: Samples of the coarse band 1 on the grid of band 0, beside those of band 0 itself.
+_MIXED = (
+    _SAMPLED[: _SAMPLED.index("st AS (")]
+    + _HALF[2:]
+    + """, hz AS (SELECT max(x) + 1 AS sw, max(y) + 1 AS sh FROM half), fz AS (SELECT max(x) + 1 AS ow, max(y) + 1 AS oh FROM px),
+hg AS (SELECT y, x, (x + 0.5) / CAST(ow AS DOUBLE) * sw AS sx, (y + 0.5) / CAST(oh AS DOUBLE) * sh AS sy, sw, sh FROM px, hz, fz WHERE band = 0),
+hc AS (SELECT y, x, sx - least(floor(sx), sw - 1) AS dx, sy - least(floor(sy), sh - 1) AS dy, CAST(least(floor(sx), sw - 1) AS INTEGER) AS x0, CAST(least(floor(sx) + 1, sw - 1) AS INTEGER) AS x1, CAST(least(floor(sy), sh - 1) AS INTEGER) AS y0, CAST(least(floor(sy) + 1, sh - 1) AS INTEGER) AS y1 FROM hg),
+hs AS (SELECT c.y, c.x, (p.v + dx * (r.v - p.v)) + dy * ((d.v + dx * (q.v - d.v)) - (p.v + dx * (r.v - p.v))) AS v FROM hc c JOIN half p ON p.y = y0 AND p.x = x0 JOIN half r ON r.y = y0 AND r.x = x1 JOIN half d ON d.y = y1 AND d.x = x0 JOIN half q ON q.y = y1 AND q.x = x1),
+st AS (SELECT s.y, s.x, s.v AS b0, hs.v AS b1, s.a FROM s JOIN hs ON hs.y = s.y AND hs.x = s.x WHERE s.band = 0),
+nd AS (SELECT *, (b0 - b1) / (b0 + b1 + 1e-9) AS i FROM st) """
+)
+
+
+@query(_MIXED + "SELECT y, x, " + ", ".join(f"CAST(CASE WHEN a = 255 THEN {_ramp('i', 'NDMI', k)} ELSE 0 END AS INTEGER) AS {n}" for n, k in (("r", 16), ("g", 8), ("b", 0))) + ", a FROM nd")
+def ndmi_mixed(spark, sf_dir):
+    """A feature of a fine band and one of half its resolution."""
+    levels = _levels(spark, sf_dir)
+    return blocks.combine(levels.filter("band = 0").unionByName(op.downscale_nearest(levels.filter("band = 1"), 2)), "NDMI", (0, 1))
 
 
 _LUT = ", ".join(f"({i}, {c >> 16}, {c >> 8 & 255}, {c & 255})" for i, c in enumerate(pixels.CLASS_COLOURS) if c)
@@ -377,11 +397,11 @@ def _mercator_boxes(spark, sf_dir):
 _UTM_BOX, _UTM_ZONE, _UTM_OUT = (400000.0, 5600000.0, 500000.0, 5450000.0), 33, (60, 80)
 
 
-def _sampled_at(points: str, px: str, w: int, h: int, values: str) -> str:
+def _sampled_at(points: str, px: str, values: str) -> str:
     """Bilinear samples at (sx, sy) of the CTE ``points`` by four joins."""
     lerp = lambda v: f"((p.{v} + dx * (r.{v} - p.{v})) + dy * ((d.{v} + dx * (q.{v} - d.{v})) - (p.{v} + dx * (r.{v} - p.{v}))))"
     picked = ", ".join(f"{lerp(v)} AS {v}" for v in values)
-    return f""", c0 AS (SELECT *, greatest(0, least(CAST(floor(sx) AS INTEGER), {w - 1})) AS x0, greatest(0, least(CAST(floor(sy) AS INTEGER), {h - 1})) AS y0 FROM {points}), c AS (SELECT *, sx - x0 AS dx, sy - y0 AS dy, least(x0 + 1, {w - 1}) AS x1, least(y0 + 1, {h - 1}) AS y1 FROM c0),
+    return f""", ends AS (SELECT max(x) AS ex, max(y) AS ey FROM {px}), c0 AS (SELECT {points}.*, ex, ey, greatest(0, least(CAST(floor(sx) AS INTEGER), ex)) AS x0, greatest(0, least(CAST(floor(sy) AS INTEGER), ey)) AS y0 FROM {points}, ends), c AS (SELECT *, sx - x0 AS dx, sy - y0 AS dy, least(x0 + 1, ex) AS x1, least(y0 + 1, ey) AS y1 FROM c0),
 got AS (SELECT c.*, {picked} FROM c JOIN {px} p ON p.y = y0 AND p.x = x0 JOIN {px} r ON r.y = y0 AND r.x = x1 JOIN {px} d ON d.y = y1 AND d.x = x0 JOIN {px} q ON q.y = y1 AND q.x = x1) """
 
 
@@ -393,10 +413,10 @@ def _grid_sql(bounds: tuple, w: int, h: int) -> str:
 def _warp_sql() -> str:
     left, top, right, bottom = _UTM_BOX
     geographic = ", g AS (SELECT y, x, degrees(2 * atan(exp(pi() * (1 - 2 * my))) - pi() / 2) AS lat, 360 * mx - 180 AS lon FROM o)"
-    source = f", w AS (SELECT y, x, (e - {left}) / {right - left} AS fu, (n - {top}) / {bottom - top} AS fv, (e - {left}) / {right - left} * 100 AS sx, (n - {top}) / {bottom - top} * 150 AS sy FROM u)"
-    px = ", src AS (SELECT y, x, CAST(dn AS DOUBLE) AS v, CASE WHEN dn % 7 = 0 THEN 0 ELSE 255 END AS a FROM radar WHERE y < 150)"
+    source = f", w AS (SELECT y, x, (e - {left}) / {right - left} AS fu, (n - {top}) / {bottom - top} AS fv, (e - {left}) / {right - left} * pw AS sx, (n - {top}) / {bottom - top} * ph AS sy FROM u, (SELECT max(x) + 1 AS pw, max(y) + 1 AS ph FROM radar))"
+    px = ", src AS (SELECT y, x, CAST(dn AS DOUBLE) AS v, CASE WHEN dn % 7 = 0 THEN 0 ELSE 255 END AS a FROM radar)"
     ok = "fu BETWEEN 0 AND 1 AND fv BETWEEN 0 AND 1 AND floor(a + 1e-7) = 255"
-    return duck("radar")[:-1] + px + _grid_sql(geo.mercator_bounds_of_utm(*_UTM_BOX, _UTM_ZONE), *_UTM_OUT) + geographic + _utm_sql("lat", "lon", _UTM_ZONE, "g", "y, x") + source + _sampled_at("w", "src", 100, 150, "va") + f"SELECT y, x, CASE WHEN {ok} THEN {_trunc('v')} ELSE 0 END AS v, CASE WHEN {ok} THEN 255 ELSE 0 END AS a FROM got"
+    return duck("radar")[:-1] + px + _grid_sql(geo.mercator_bounds_of_utm(*_UTM_BOX, _UTM_ZONE), *_UTM_OUT) + geographic + _utm_sql("lat", "lon", _UTM_ZONE, "g", "y, x") + source + _sampled_at("w", "src", "va") + f"SELECT y, x, CASE WHEN {ok} THEN {_trunc('v')} ELSE 0 END AS v, CASE WHEN {ok} THEN 255 ELSE 0 END AS a FROM got"
 
 
 @query(_warp_sql())
@@ -429,12 +449,15 @@ def tie_cell_lookup(spark, sf_dir):
 
 @query(
     _HELD.replace("WITH ", "WITH radar AS (" + duck("radar")[len("WITH radar AS (") : -1] + ", ", 1)
-    + ", src AS (SELECT y, x, CAST(dn AS DOUBLE) AS v FROM radar WHERE y < 101), h AS (SELECT y, x, abs(c1) / l1 AS d1, abs(c2) / l2 AS d2, abs(c3) / l3 AS d3, abs(c4) / l4 AS d4, apy, bpx, cpy, dpx FROM held WHERE k = 1), w AS (SELECT y, x, (bpx * d4 + dpx * d2) / (d2 + d4) AS sx, (apy * d3 + cpy * d1) / (d1 + d3) AS sy FROM h)"
-    + _sampled_at("w", "src", 100, 101, "v") + f"SELECT y, x, round(sx, 5) AS sx, round(sy, 5) AS sy, CAST(floor(round(v, 4)) AS INTEGER) AS v FROM got"
+    + ", src AS (SELECT y, x, CAST(dn AS DOUBLE) AS v FROM radar), h AS (SELECT y, x, abs(c1) / l1 AS d1, abs(c2) / l2 AS d2, abs(c3) / l3 AS d3, abs(c4) / l4 AS d4, apy, bpx, cpy, dpx FROM held WHERE k = 1), w AS (SELECT y, x, (bpx * d4 + dpx * d2) / (d2 + d4) * ((ex) / 100.0::DOUBLE) AS sx, (apy * d3 + cpy * d1) / (d1 + d3) * ((ey) / 100.0::DOUBLE) AS sy FROM h, (SELECT max(x) AS ex, max(y) AS ey FROM src))"
+    + _sampled_at("w", "src", "v") + f"SELECT y, x, round(sx, 5) AS sx, round(sy, 5) AS sy, CAST(floor(round(v, 4)) AS INTEGER) AS v FROM got"
 )
 def warp_tie_points(spark, sf_dir):
-    px = raster(spark, sf_dir, "radar").filter("y < 101").select("y", "x", F.col("dn").alias("v"))
-    got = op.sample_at(op.tie_source(_located(spark, sf_dir)), px, ["v"], 100, 101)
+    """The points' grid of 101 x 101 is stretched over the whole raster."""
+    px = raster(spark, sf_dir, "radar").select("y", "x", F.col("dn").alias("v"))
+    x_last, y_last = px.agg(F.max("x"), F.max("y")).first()
+    points = op.tie_source(_located(spark, sf_dir)).withColumns({"sx": F.col("sx") * F.lit(x_last / 100.0), "sy": F.col("sy") * F.lit(y_last / 100.0)})
+    got = op.sample_at(points, px, ["v"], x_last + 1, y_last + 1)
     return got.select("y", "x", F.round("sx", 5).alias("sx"), F.round("sy", 5).alias("sy"), F.floor(F.round("v", 4)).cast("int").alias("v"))
 
 
@@ -505,7 +528,7 @@ def _pyramid_sql() -> str:
         ctes, select = body[2:].rsplit("\nSELECT", 1)
         renamed = ctes.replace("sz AS", f"sz{z} AS").replace("FROM sz,", f"FROM sz{z},").replace(" o AS", f" o{z} AS").replace("FROM o)", f"FROM o{z})").replace("\nc AS", f"\nc{z} AS")
         levels.append((renamed, f"SELECT {z} AS z, CAST(floor(y / 64) AS INTEGER) AS ty, CAST(floor(x / 64) AS INTEGER) AS tx, v FROM (SELECT{select.replace('FROM c JOIN', f'FROM c{z} c JOIN')})"))
-    return duck("rgb")[:-1] + ", red AS (SELECT y, x, CAST(r AS DOUBLE) AS v FROM rgb WHERE y < 200), " + ", ".join(c for c, _ in levels) + " SELECT z, ty, tx, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (" + " UNION ALL ".join(s for _, s in levels) + ") GROUP BY z, ty, tx"
+    return duck("rgb")[:-1] + ", red AS (SELECT y, x, CAST(r AS DOUBLE) AS v FROM rgb), " + ", ".join(c for c, _ in levels) + " SELECT z, ty, tx, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (" + " UNION ALL ".join(s for _, s in levels) + ") GROUP BY z, ty, tx"
 
 
 _LEVELS = {1: (40, 160), 2: (80, 320), 3: (160, 640)}
@@ -513,11 +536,9 @@ _LEVELS = {1: (40, 160), 2: (80, 320), 3: (160, 640)}
 
 @query(_pyramid_sql())
 def tile_pyramid(spark, sf_dir):
-    px, levels = raster(spark, sf_dir, "rgb"), None
-    for z, (w, h) in _LEVELS.items():  # each level from the full resolution
-        one = op.cut_tiles(op.resample_to(px, "r", w, h), 0, 0, 0, 0, tile=64).withColumn("z", F.lit(z))
-        levels = one if levels is None else levels.unionByName(one)
-    return levels.groupBy("z", "ty", "tx").agg(F.count("*").alias("n"), F.sum(pixels.trunc(F.col("r"))).alias("total"))
+    sampled = blocks.resample(raster(spark, sf_dir, "rgb"), ["r"], [(z, w, h) for z, (w, h) in _LEVELS.items()])
+    tiles = op.cut_tiles(sampled, 0, 0, 0, 0, tile=64)
+    return tiles.groupBy("z", "ty", "tx").agg(F.count("*").alias("n"), F.sum(pixels.trunc(F.col("r"))).alias("total"))
 
 
 # requests

@@ -32,10 +32,15 @@ def equalise(px: DataFrame, value: str, keys: Sequence[str] = (), sigmas: float
 
 
 def with_neighbours(px: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Each value as an array of the pixel, its right, its lower and its lower right neighbour, repeated at the edges."""
+    """Each value as an array of the pixel, its right, its lower and its lower right neighbour, repeated at the edges.
+
+    A neighbour is the pixel at the next place; where there is none, as at an edge or in a raster with gaps, the pixel
+    stands for it.
+    """
     right, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    px = px.withColumns({f"_r_{v}": F.coalesce(F.lead(v).over(right), F.col(v)) for v in values})
-    px = px.withColumns({v: F.array(F.col(v), F.col(f"_r_{v}"), F.coalesce(F.lead(v).over(down), F.col(v)), F.coalesce(F.lead(f"_r_{v}").over(down), F.col(f"_r_{v}"))).alias(v) for v in values})
+    beside, below = F.lead("x").over(right) == F.col("x") + 1, F.lead("y").over(down) == F.col("y") + 1
+    px = px.withColumns({f"_r_{v}": F.when(beside, F.lead(v).over(right)).otherwise(F.col(v)) for v in values})
+    px = px.withColumns({v: F.array(F.col(v), F.col(f"_r_{v}"), F.when(below, F.lead(v).over(down)).otherwise(F.col(v)), F.when(below, F.lead(f"_r_{v}").over(down)).otherwise(F.col(f"_r_{v}"))).alias(v) for v in values})
     return px.drop(*(f"_r_{v}" for v in values))
 
 
