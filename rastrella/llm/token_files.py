@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +26,13 @@ NARROW = 1 << 16
 #: A round replaces so many pairs at most, none seen more seldom than this; rounds end when symbols run out or when the
 #: pairs left are fewer than one in so many places of the sequence. A complete grammar has no such ends.
 ROUND_PAIRS, LEAST_COUNT, LEAST_SHARE = 8192, 8, 1000
-#: UTF-8 bytes of the pieces whose ids a worker keeps; beyond, it starts anew.
-CACHE_BYTES = 6 << 20
+#: Pieces whose ids a worker keeps (beyond, it starts anew), the table that finds them, and the bytes of a piece with its
+#: blank beyond which its text is encoded whole.
+KNOWN, TABLE_BITS, LONGEST = 1 << 21, 23, 128
 #: Texts with any of these are encoded whole: white space other than a blank or line end, and two of those together.
 _WIDE_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("  ", "\n\n", " \n", "\n ")
 #: Characters of text that are encoded at once; a longer text is encoded alone.
-PART = 3 << 20
+PART = 1 << 20
 #: Pieces that the tokenizer gets as one text.
 GROUP = 256
 _ODD, _TO_SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
@@ -183,12 +183,15 @@ class Encoder:
     """Token ids of texts by the tokenizers library, with the ids of pieces between single blanks and line ends kept.
 
     The vocabulary's pre-tokenizer never joins characters over a single space (which begins the next piece) or a single
-    line end (a piece of its own), so pieces can be encoded apart. Texts with any other white space, or with the string of
-    an added token, which the library finds before it splits, are encoded whole.
-    Arrow splits the texts of a part and numbers their different pieces; known pieces are then gathered by number.
+    line end (a piece of its own), so pieces can be encoded apart. Texts with any other white space, with a very long
+    piece, or with the string of an added token, which the library finds before it splits, are encoded whole.
+
+    Pieces are told apart by two multilinear hashes with random weights, 128 bits together, which numpy makes of all
+    pieces of a part at once; known ones are found in a table of slots, and their ids gathered by number.
     """
 
     def __init__(self, data: bytes) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
@@ -202,11 +205,12 @@ class Encoder:
         self.begins = begins
         self.newline_ids = self._ids("\n")
         self.newline_id = int(self.newline_ids[0])
+        self.weights = np.random.default_rng(17).integers(0, 1 << 64, (2, LONGEST + 2), np.uint64) | np.uint64(1)
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.held = 0
+        self.table = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.names, self.used = np.zeros((2, KNOWN), np.uint64), 0
         self.flat, self.starts, self.stops = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -220,50 +224,86 @@ class Encoder:
         assert len(first) == len(missing)
         return ids, first
 
-    def _add(self, keys: list[str]) -> None:
-        """Number new pieces and keep their ids. A piece that opens a line has the line end in front, and a text's first a \\r."""
-        opening = [k for k in keys if k[:1] in ("\n", "\r") and len(k) > 1]
-        empty = [k for k in keys if k in ("\n", "\r")]
-        spaced = [k for k in keys if k[:1] not in ("\n", "\r")]
-        ids, starts, stops = [self.newline_ids] * len(empty), [np.array([int(k == "\r") for k in empty], np.int64)], [np.ones(len(empty), np.int64)]
-        at = len(empty)
-        if empty:
-            starts[0] += np.arange(at)
-            stops[0] += np.arange(at)
-        for found, by in ((opening, "\n"), (spaced, " ")):
-            if found:
-                own, first = self._learn([k[1:] for k in found] if by == "\n" else found, by)
-                skip = np.array([k[0] == "\r" for k in found], np.int64) if by == "\n" else 0
-                ids.append(own)
-                starts.append(at + first + skip)
-                stops.append(at + np.append(first[1:], len(own)))
-                at += len(own)
-        order = empty + opening + spaced
-        self.slots.update(zip(order, range(len(self.slots), len(self.slots) + len(order))))
-        base = len(self.flat)
-        self.flat = np.concatenate([self.flat, *ids])
-        self.starts = np.concatenate([self.starts, *(x + base for x in starts)])
-        self.stops = np.concatenate([self.stops, *(x + base for x in stops)])
+    def _add(self, keys: list[str], names: np.ndarray) -> None:
+        """Keep the ids of new pieces. A piece that opens a line has the line end in front, and a text's first a \\r."""
+        kind = np.array([2 if k[:1] not in ("\n", "\r") else int(len(k) > 1) for k in keys])
+        starts, stops, flat, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [self.flat], len(self.flat)
+        for which, by in ((0, ""), (1, "\n"), (2, " ")):
+            places = np.flatnonzero(kind == which)
+            if not len(places):
+                continue
+            found = [keys[i] for i in places.tolist()]
+            skip = np.array([k[0] == "\r" for k in found], np.int64) if which < 2 else 0
+            if which:
+                own, first = self._learn([k[1:] for k in found] if which == 1 else found, by)
+            else:
+                own, first = np.tile(self.newline_ids, len(found)), np.arange(len(found)) * len(self.newline_ids)
+                skip = skip * len(self.newline_ids)
+            starts[places], stops[places] = at + first + skip, at + np.append(first[1:], len(own))
+            flat.append(own)
+            at += len(own)
+        self.flat = np.concatenate(flat)
+        self.starts, self.stops = np.concatenate([self.starts, starts]), np.concatenate([self.stops, stops])
+        fresh = np.arange(self.used, self.used + len(keys))
+        self.names[:, fresh] = names
+        self.used += len(keys)
+        slot = (names[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(fresh):  # of pieces that want one free slot the first gets it, the others go on
+            free = self.table[slot] < 0
+            slots, first = np.unique(slot[free], return_index=True)
+            self.table[slots] = fresh[free][first]
+            left = self.table[slot] != fresh
+            fresh, slot = fresh[left], (slot[left] + 1) & ((1 << TABLE_BITS) - 1)
+
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if it isn't known."""
+        out = np.full(names.shape[1], -1, np.int64)
+        at, slot = np.arange(names.shape[1]), (names[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(at):
+            found = self.table[slot]
+            hit = (found >= 0) & (self.names[0, found] == names[0, at]) & (self.names[1, found] == names[1, at])
+            out[at[hit]] = found[hit]
+            on = (found >= 0) & ~hit
+            at, slot = at[on], (slot[on] + 1) & ((1 << TABLE_BITS) - 1)
+        return out
 
     def _gather(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without wide space."""
-        if self.held > CACHE_BYTES:
-            self._forget()
-        lists = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
-        pieces = lists.values.dictionary_encode()
-        keys = pieces.dictionary.to_pylist()
-        found = np.array(list(map(self.slots.get, keys, repeat(-1))), np.int64)
-        fresh = np.flatnonzero(found < 0)
+        if not texts:
+            return []
+        raw = np.frombuffer(" ".join(["\r" + t.replace("\n", " \n") for t in texts]).encode(), np.uint8)
+        raw = np.concatenate([np.array([32], np.uint8), raw])
+        begin = np.flatnonzero(raw == 32)
+        size = np.diff(np.append(begin, len(raw)))
+        first = np.flatnonzero(raw[np.minimum(begin + 1, len(raw) - 1)] == 13)  # the piece that opens each text
+        if size.max() > LONGEST:
+            long = np.add.reduceat((size > LONGEST).astype(np.int64), first) > 0
+            rest = iter(self._gather([t for t, x in zip(texts, long) if not x]))
+            return [self._ids(t).tobytes() if x else next(rest) for t, x in zip(texts, long)]
+        place = np.arange(len(raw)) - np.repeat(begin, size)
+        wide = raw.astype(np.uint64)
+        names = np.stack([np.add.reduceat(wide * w[place], begin) + size.astype(np.uint64) * w[-1] for w in self.weights])
+        number = self._find(names)
+        fresh = np.flatnonzero(number < 0)
         if len(fresh):
-            self.held += int(pc.sum(pc.binary_length(pieces.dictionary.take(pa.array(fresh)))).as_py())
-            self._add([keys[i] for i in fresh.tolist()])
-            found[fresh] = [self.slots[keys[i]] for i in fresh.tolist()]
-        slot = found[pieces.indices.to_numpy()]
-        start, size = self.starts[slot], self.stops[slot] - self.starts[slot]
-        before = np.concatenate([[0], np.cumsum(size)])
-        raw = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])].tobytes()
-        ends = (self.flat.itemsize * before[lists.offsets.to_numpy()]).tolist()
-        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+            _, one = np.unique(names[0, fresh], return_index=True)
+            new = fresh[one]
+            if self.used + len(new) > KNOWN:
+                self._forget()
+                _, new = np.unique(names[0], return_index=True)
+                if len(new) > KNOWN:
+                    return [self._ids(t).tobytes() for t in texts]
+                fresh = np.arange(len(size))
+            data, lo, hi = raw.tobytes(), (begin[new] + 1).tolist(), (begin[new] + size[new]).tolist()
+            self._add([data[a:b].decode() for a, b in zip(lo, hi)], names[:, new])
+            number[fresh] = self._find(names[:, fresh])
+        if (number < 0).any():  # two pieces of this part share the first hash: encode them without it
+            return [self._ids(t).tobytes() for t in texts]
+        start, length = self.starts[number], self.stops[number] - self.starts[number]
+        before = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(start - before[:-1], length) + np.arange(before[-1])].tobytes()
+        ends = (self.flat.itemsize * before[np.append(first, len(size))]).tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as 16-bit integers, or 32-bit ones for a larger vocabulary."""

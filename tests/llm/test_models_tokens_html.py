@@ -314,10 +314,22 @@ def test_encoder_equals_whole_encoding(spark):
     coder = token_files.Encoder(open(path, "rb").read())
     assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     texts = HARD_TEXTS + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    texts += ["word " * 3 + "x" * 500 + " end", "é" * 300, "a" * 127, "a" * 126 + " b"]
     for t in texts:
         assert np.frombuffer(coder.encode(t), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_encoder_starts_anew_when_its_table_is_full(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN", 300)
+    monkeypatch.setattr(token_files, "TABLE_BITS", 9)
+    monkeypatch.setattr(token_files, "PART", 900)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, coder = Tokenizer.from_file(path), token_files.Encoder(open(path, "rb").read())
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, int(n))) + "\nline" for n in rng.integers(0, 400, 60)]
+    assert [np.frombuffer(b, np.uint16).tolist() for b in coder.encode_all(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, hard_docs, no_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
