@@ -6,6 +6,7 @@ import math
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -496,6 +497,41 @@ def quad_alpha(spark, sf_dir):
     return op.quad_alpha(op.grid(spark, 64, 48), _QUAD)
 
 
+def _warp_quad_sql() -> str:
+    """The eight coefficients come from a linear system here, and from cross products in the operator."""
+    out_w, out_h = 64, 48
+    rows, right = [], []
+    for (x, y), (u, v) in zip(_QUAD, ((0, 0), (1, 0), (1, 1), (0, 1))):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+        right += [u, v]
+    a, b, c, d, e, f, g, h = (f"({k!r}::DOUBLE)" for k in np.linalg.solve(np.array(rows, float), np.array(right, float)).tolist())
+    inside = f"{_triangle_sql(0, 1, 2)} OR {_triangle_sql(2, 3, 0)}"
+    grid = f", o AS (SELECT CAST(gy.i AS INTEGER) AS y, CAST(gx.i AS INTEGER) AS x FROM range({out_h}) gy(i), range({out_w}) gx(i)), m AS (SELECT y, x, CASE WHEN {inside} THEN 255 ELSE 0 END AS a0, x + 0.5::DOUBLE AS cx, y + 0.5::DOUBLE AS cy FROM o)"
+    at = f", w AS (SELECT y, x, ({a} * cx + {b} * cy + {c}) / ({g} * cx + {h} * cy + 1) * pw AS sx, ({d} * cx + {e} * cy + {f}) / ({g} * cx + {h} * cy + 1) * ph AS sy FROM m, (SELECT max(x) + 1 AS pw, max(y) + 1 AS ph FROM radar) WHERE a0 = 255)"
+    px = ", src AS (SELECT y, x, CAST(dn AS DOUBLE) AS v FROM radar)"
+    return duck("radar")[:-1] + px + grid + at + _sampled_at("w", "src", "v") + f"SELECT m.y, m.x, CASE WHEN a0 = 255 THEN {_trunc('got.v')} ELSE 0 END AS v, a0 AS a FROM m LEFT JOIN got ON got.y = m.y AND got.x = m.x"
+
+
+@query(_warp_quad_sql())
+def warp_quad(spark, sf_dir):
+    px = raster(spark, sf_dir, "radar").select("y", "x", F.col("dn").alias("v"))
+    width, height = px.agg(F.max("x") + 1, F.max("y") + 1).first()
+    return op.warp_quad(px, _QUAD, ["v"], width, height, 64, 48)
+
+
+@query(duck("meta") + ", k AS (SELECT *, raster_id % 3 = 0 AS ties, raster_id % 5 <> 0 AS known, CASE WHEN raster_id % 7 = 0 THEN 4326 ELSE epsg END AS crs, CASE WHEN raster_id % 11 = 0 THEN 88 ELSE 40 END AS top FROM meta) SELECT raster_id, CASE WHEN NOT known OR top > 85 THEN 'copy' WHEN crs BETWEEN 32601 AND 32660 OR crs BETWEEN 32701 AND 32760 THEN 'utm' WHEN ties THEN 'ties' ELSE 'quad' END AS strategy FROM k")
+def warp_strategy(spark, sf_dir):
+    i = F.col("raster_id")
+    crs, top = F.when(i % 7 == 0, 4326).otherwise(F.col("epsg")), F.when(i % 11 == 0, 88.0).otherwise(40.0)
+    return raster(spark, sf_dir, "meta").select("raster_id", strategy.warp_strategy(crs, i % 5 != 0, i % 3 == 0, F.lit(30.0), top).alias("strategy"))
+
+
+@query(duck("meta") + f"SELECT raster_id, round((x_min + {geo.HALF_EQUATOR!r}::DOUBLE) / (2 * {geo.HALF_EQUATOR!r}::DOUBLE), 9) AS mx, round(1 - (y_max + {geo.HALF_EQUATOR!r}::DOUBLE) / (2 * {geo.HALF_EQUATOR!r}::DOUBLE), 9) AS my FROM meta")
+def metres_to_unit(spark, sf_dir):
+    mx, my = geo.metres_to_unit(F.col("x_min"), F.col("y_max"))
+    return raster(spark, sf_dir, "meta").select("raster_id", F.round(mx, 9).alias("mx"), F.round(my, 9).alias("my"))
+
+
 # tiles
 
 _BOXES = _CORNERS[:-1] + f", m AS (SELECT raster_id, {_mercator_sql('t', 'l')[0]} AS xl, {_mercator_sql('t', 'l')[1]} AS yt, {_mercator_sql('b', 'r')[0]} AS xr, {_mercator_sql('b', 'r')[1]} AS yb FROM f), z AS (SELECT raster_id, z, xl * pow(2, z) AS xl, yt * pow(2, z) AS yt, xr * pow(2, z) AS xr, yb * pow(2, z) AS yb FROM m, (VALUES (6), (9), (12)) q(z)) "

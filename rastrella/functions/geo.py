@@ -66,6 +66,20 @@ def mercator_bounds_of_utm(xleft: float, ytop: float, xright: float, ybottom: fl
     return min(xs), min(ys), max(xs), max(ys)
 
 
+def unit_of_quad(x: Column, y: Column, quad: tuple) -> tuple[Column, Column]:
+    """(u, v) in the unit square that the perspective map onto the corners ``quad`` (clockwise from u = v = 0) takes to (x, y)."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = quad
+    ax, ay, bx, by, sx, sy = x1 - x2, y1 - y2, x3 - x2, y3 - y2, x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    area = ax * by - bx * ay
+    g, h = (sx * by - bx * sy) / area, (ax * sy - sx * ay) / area
+    # columns of the forward matrix; its inverse is their cross products up to a factor, which cancels
+    p, q, r = (x1 - x0 + g * x1, y1 - y0 + g * y1, g), (x3 - x0 + h * x3, y3 - y0 + h * y3, h), (x0, y0, 1.0)
+    cross = lambda s, t: (s[1] * t[2] - s[2] * t[1], s[2] * t[0] - s[0] * t[2], s[0] * t[1] - s[1] * t[0])
+    at = lambda n: F.lit(n[0]) * x + F.lit(n[1]) * y + F.lit(n[2])
+    below = at(cross(p, q))
+    return at(cross(q, r)) / below, at(cross(r, p)) / below
+
+
 def is_utm(epsg: Column) -> Column:
     return epsg.between(32601, 32660) | epsg.between(32701, 32760)
 

@@ -140,12 +140,12 @@ def composite(stacked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return stacked.select(*keys, "y", "x", *(F.col(f"b{i}").cast("int").alias(n) for i, n in enumerate("rgb")), "a")
 
 
-def classify(px: DataFrame, code: str = "code", fill: int = 0) -> DataFrame:
+def classify(px: DataFrame, code: str = "code", fill: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Colour of class codes by a join with the twelve classes; unknown and empty classes are transparent."""
     rows = [(i, *pixels.rgb_parts(c)) for i, c in enumerate(pixels.CLASS_COLOURS) if c]
     table = px.sparkSession.createDataFrame(rows, f"{code} int, _r int, _g int, _b int")
     joined = px.join(F.broadcast(table), code, "left").withColumn("_ok", F.col("_r").isNotNull() & (F.col("a") == 255))
-    return joined.select("y", "x", *(F.when(F.col("_ok"), F.col(f"_{n}")).otherwise(fill).alias(n) for n in "rgb"), F.when(F.col("_ok"), 255).otherwise(0).alias("a"))
+    return joined.select(*keys, "y", "x", *(F.when(F.col("_ok"), F.col(f"_{n}")).otherwise(fill).alias(n) for n in "rgb"), F.when(F.col("_ok"), 255).otherwise(0).alias("a"))
 
 
 def ramp_segments(px: DataFrame, value: str, points: Sequence[tuple]) -> DataFrame:
@@ -253,6 +253,20 @@ def quad_alpha(px: DataFrame, quad: Sequence[tuple[float, float]]) -> DataFrame:
     return px.withColumn("a", F.when(inside(0, 1, 2) | inside(2, 3, 0), 255).otherwise(0))
 
 
+def warp_quad(px: DataFrame, quad: Sequence[tuple[float, float]], values: Sequence[str], width: int, height: int, out_width: int, out_height: int, fill: int = 0) -> DataFrame:
+    """Warp a raster so that its corners (top left, top right, bottom right, bottom left) come to lie on ``quad``.
+
+    The perspective map of the quadrilateral onto the raster is column arithmetic on the centre of each output pixel.
+    Pixels outside the quadrilateral are transparent and take the fill colour.
+    """
+    out = quad_alpha(grid(px.sparkSession, out_width, out_height), quad)
+    u, v = geo.unit_of_quad(F.col("x") + F.lit(0.5), F.col("y") + F.lit(0.5), quad)
+    out = out.withColumns({"sx": u * F.lit(float(width)), "sy": v * F.lit(float(height))})
+    got = sample_at(out.filter("a = 255"), px.select("y", "x", *values), values, width, height).select("y", "x", *values)
+    joined = out.select("y", "x", "a").join(got, ["y", "x"], "left")
+    return joined.select("y", "x", *(F.when(F.col("a") == 255, trunc(F.col(c))).otherwise(fill).alias(c) for c in values), "a")
+
+
 # footprints
 
 
