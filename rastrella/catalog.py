@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from rastrella.functions import geo, pixels, requests
 from rastrella.operators import blocks
 from rastrella.operators import raster as op
-from rastrella.plans import strategy
-from rastrella.sources import images
+from rastrella.plans import execute, strategy
+from rastrella.sources import headers, images
 from rastrella.sources.fixtures import duck, raster
 from rastrella.streaming import feed
 
@@ -232,7 +232,7 @@ _MIXED = (
     + """, hz AS (SELECT max(x) + 1 AS sw, max(y) + 1 AS sh FROM half), fz AS (SELECT max(x) + 1 AS ow, max(y) + 1 AS oh FROM px),
 hg AS (SELECT y, x, (x + 0.5) / CAST(ow AS DOUBLE) * sw AS sx, (y + 0.5) / CAST(oh AS DOUBLE) * sh AS sy, sw, sh FROM px, hz, fz WHERE band = 0),
 hc AS (SELECT y, x, sx - least(floor(sx), sw - 1) AS dx, sy - least(floor(sy), sh - 1) AS dy, CAST(least(floor(sx), sw - 1) AS INTEGER) AS x0, CAST(least(floor(sx) + 1, sw - 1) AS INTEGER) AS x1, CAST(least(floor(sy), sh - 1) AS INTEGER) AS y0, CAST(least(floor(sy) + 1, sh - 1) AS INTEGER) AS y1 FROM hg),
-hs AS (SELECT c.y, c.x, (p.v + dx * (r.v - p.v)) + dy * ((d.v + dx * (q.v - d.v)) - (p.v + dx * (r.v - p.v))) AS v FROM hc c JOIN half p ON p.y = y0 AND p.x = x0 JOIN half r ON r.y = y0 AND r.x = x1 JOIN half d ON d.y = y1 AND d.x = x0 JOIN half q ON q.y = y1 AND q.x = x1),
+hs AS (SELECT c.y, c.x, (p.v + dx * (r.v - p.v)) + dy * ((d.v + dx * (q.v - d.v)) - (p.v + dx * (r.v - p.v))) AS v FROM hc c JOIN half p ON p.y * 65536 + p.x = y0 * 65536 + x0 JOIN half r ON r.y * 65536 + r.x = y0 * 65536 + x1 JOIN half d ON d.y * 65536 + d.x = y1 * 65536 + x0 JOIN half q ON q.y * 65536 + q.x = y1 * 65536 + x1),
 st AS (SELECT s.y, s.x, s.v AS b0, hs.v AS b1, s.a FROM s JOIN hs ON hs.y = s.y AND hs.x = s.x WHERE s.band = 0),
 nd AS (SELECT *, (b0 - b1) / (b0 + b1 + 1e-9) AS i FROM st) """
 )
@@ -279,7 +279,7 @@ def _resized(source: str, w: int | str, h: int | str, value: str) -> str:
     """Bilinear samples of ``source (y, x, v)`` on a w x h grid by four joins."""
     return f""", sz AS (SELECT max(x) + 1 AS sw, max(y) + 1 AS sh FROM {source}), o AS (SELECT CAST(gy.i AS INTEGER) AS y, CAST(gx.i AS INTEGER) AS x, (gx.i + 0.5) / CAST({w} AS DOUBLE) * sw AS sx, (gy.i + 0.5) / CAST({h} AS DOUBLE) * sh AS sy, sw, sh FROM sz, range({h}) gy(i), range({w}) gx(i)),
 c AS (SELECT y, x, sx - least(floor(sx), sw - 1) AS dx, sy - least(floor(sy), sh - 1) AS dy, CAST(least(floor(sx), sw - 1) AS INTEGER) AS x0, CAST(least(floor(sx) + 1, sw - 1) AS INTEGER) AS x1, CAST(least(floor(sy), sh - 1) AS INTEGER) AS y0, CAST(least(floor(sy) + 1, sh - 1) AS INTEGER) AS y1 FROM o)
-SELECT c.y, c.x, {value.format(v='((p.v + dx * (r.v - p.v)) + dy * ((d.v + dx * (q.v - d.v)) - (p.v + dx * (r.v - p.v))))')} AS v FROM c JOIN {source} p ON p.y = y0 AND p.x = x0 JOIN {source} r ON r.y = y0 AND r.x = x1 JOIN {source} d ON d.y = y1 AND d.x = x0 JOIN {source} q ON q.y = y1 AND q.x = x1"""
+SELECT c.y, c.x, {value.format(v='((p.v + dx * (r.v - p.v)) + dy * ((d.v + dx * (q.v - d.v)) - (p.v + dx * (r.v - p.v))))')} AS v FROM c JOIN {source} p ON p.y * 65536 + p.x = y0 * 65536 + x0 JOIN {source} r ON r.y * 65536 + r.x = y0 * 65536 + x1 JOIN {source} d ON d.y * 65536 + d.x = y1 * 65536 + x0 JOIN {source} q ON q.y * 65536 + q.x = y1 * 65536 + x1"""
 
 
 @query(_PIXELS[:-1] + ", half AS (SELECT CAST(y / 2 AS INTEGER) AS y, CAST(x / 2 AS INTEGER) AS x, CAST(v AS DOUBLE) AS v FROM px WHERE band = 1 AND x % 2 = 0 AND y % 2 = 0)" + _resized("half", 16, 500, "round({v}, 6)"))
@@ -403,7 +403,7 @@ def _sampled_at(points: str, px: str, values: str) -> str:
     lerp = lambda v: f"((p.{v} + dx * (r.{v} - p.{v})) + dy * ((d.{v} + dx * (q.{v} - d.{v})) - (p.{v} + dx * (r.{v} - p.{v}))))"
     picked = ", ".join(f"{lerp(v)} AS {v}" for v in values)
     return f""", ends AS (SELECT max(x) AS ex, max(y) AS ey FROM {px}), c0 AS (SELECT {points}.*, ex, ey, greatest(0, least(CAST(floor(sx) AS INTEGER), ex)) AS x0, greatest(0, least(CAST(floor(sy) AS INTEGER), ey)) AS y0 FROM {points}, ends), c AS (SELECT *, sx - x0 AS dx, sy - y0 AS dy, least(x0 + 1, ex) AS x1, least(y0 + 1, ey) AS y1 FROM c0),
-got AS (SELECT c.*, {picked} FROM c JOIN {px} p ON p.y = y0 AND p.x = x0 JOIN {px} r ON r.y = y0 AND r.x = x1 JOIN {px} d ON d.y = y1 AND d.x = x0 JOIN {px} q ON q.y = y1 AND q.x = x1) """
+got AS (SELECT c.*, {picked} FROM c JOIN {px} p ON p.y * 65536 + p.x = y0 * 65536 + x0 JOIN {px} r ON r.y * 65536 + r.x = y0 * 65536 + x1 JOIN {px} d ON d.y * 65536 + d.x = y1 * 65536 + x0 JOIN {px} q ON q.y * 65536 + q.x = y1 * 65536 + x1) """
 
 
 def _grid_sql(bounds: tuple, w: int, h: int) -> str:
@@ -467,9 +467,7 @@ def tie_points_parse(spark, sf_dir):
     tie = raster(spark, sf_dir, "tie")
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("gy", "gx", F.array(F.col("px").cast("double"), F.col("py").cast("double"), F.lit(0.0), F.col("lon"), F.col("lat"), F.lit(0.0)).alias("t")))), lambda p: p["t"]))
     tag = tie.groupBy("raster_id").agg(flat.alias("tag"))
-    six = F.transform(F.sequence(F.lit(0), (F.size("tag") / 6).cast("int") - 1), lambda i: F.struct(F.get("tag", i * 6).alias("px"), F.get("tag", i * 6 + 1).alias("py"), F.get("tag", i * 6 + 3).alias("lon"), F.get("tag", i * 6 + 4).alias("lat")))
-    points = tag.withColumn("p", six).withColumn("grid_width", F.size(F.filter("p", lambda p: p["py"] == 0)).cast("long"))
-    return points.select(F.posexplode("p").alias("i", "q"), "grid_width").select("i", F.col("q.px").cast("int").alias("px"), F.col("q.py").cast("int").alias("py"), "q.lon", "q.lat", "grid_width")
+    return op.points_of_tag(tag).select("i", "px", "py", "lon", "lat", "grid_width")
 
 
 @query(duck("tie") + ", e AS (SELECT *, max(px) OVER () AS mx, max(py) OVER () AS my FROM tie) SELECT raster_id, bit_or(CASE WHEN px = 0 AND py = 0 THEN 1 WHEN px = mx AND py = 0 THEN 2 WHEN px = mx AND py = my THEN 4 WHEN px = 0 AND py = my THEN 8 ELSE 0 END) AS corners, round(min(lat), 9) AS lat_min, round(max(lat), 9) AS lat_max, round(min(lon), 9) AS lon_min, round(max(lon), 9) AS lon_max FROM e GROUP BY raster_id")
@@ -603,6 +601,48 @@ def req_arity(spark, sf_dir):
     return raster(spark, sf_dir, "requests").select("req_id", requests.arity(requests.feature(r)).alias("arity"), requests.valid(r).alias("valid"))
 
 
+_BANDS_NEEDED = ", ".join(f"('{k}', '{v}')" for k, v in requests.BANDS.items())
+
+
+@query(_PARSED + f"SELECT req_id, needs FROM q LEFT JOIN (VALUES {_BANDS_NEEDED}) t(name, needs) ON name = feature")
+def req_bands(spark, sf_dir):
+    """Bands that a request's feature is made of; null without one."""
+    r = raster(spark, sf_dir, "requests")
+    return r.select("req_id", requests.bands(requests.feature(F.col("request"))).alias("needs"))
+
+
+@query(duck("requests") + ", z AS (SELECT req_id, list_transform(string_split(CAST(req_id % 25 AS VARCHAR) || ',' || CAST(req_id % 7 AS VARCHAR) || ',19', ','), lambda s: CAST(s AS INTEGER)) AS l FROM requests) SELECT req_id, array_to_string(list_filter(l, lambda v: v <= 19), ' ') AS zooms FROM z")
+def req_zooms(spark, sf_dir):
+    i = F.col("req_id")
+    text = F.concat_ws(",", (i % 25).cast("string"), (i % 7).cast("string"), F.lit("19"))
+    return raster(spark, sf_dir, "requests").select("req_id", F.array_join(requests.zooms(text), " ").alias("zooms"))
+
+
+_EXTENSIONS = ", ".join(f"('{k}', '{v}')" for k, v in requests.EXTENSIONS.items())
+
+
+@query(duck("requests")[:-1] + f", f AS (SELECT req_id, CASE req_id % 5 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'WEBP' WHEN 2 THEN 'RAW' WHEN 3 THEN 'PNG' ELSE 'NULL' END AS kind FROM requests) SELECT req_id, kind, ext FROM f JOIN (VALUES {_EXTENSIONS}) t(k, ext) ON k = kind")
+def req_extension(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("JPEG", "WEBP", "RAW", "PNG", "NULL"))), (F.col("req_id") % 5 + 1).cast("int"))
+    return raster(spark, sf_dir, "requests").select("req_id", kind.alias("kind"), requests.extension(kind).alias("ext"))
+
+
+@query(duck("radar") + "SELECT y, x, format('{:,}', CAST(dn AS BIGINT) * 1009) AS n FROM radar")
+def number_format(spark, sf_dir):
+    return raster(spark, sf_dir, "radar").select("y", "x", F.format_number(F.col("dn").cast("long") * 1009, 0).alias("n"))
+
+
+@query(duck("bands")[:-1] + f", l AS (SELECT band, y, x, {_boa('dn')} AS v FROM bands) SELECT band, y, x, {_trunc('(v / CAST(65535 AS DOUBLE)) * (v / CAST(65535 AS DOUBLE)) * 255')} AS v FROM l")
+def px_gamma(spark, sf_dir):
+    return _levels(spark, sf_dir).select("band", "y", "x", pixels.gamma(F.col("v")).alias("v"))
+
+
+@query(_coloured(*[_trunc(_sat("(i + 1) / 2") + " * 255")] * 3))
+def gray_override(spark, sf_dir):
+    """A feature rendered in gray, as an option of the run."""
+    return blocks.combine(_levels(spark, sf_dir), "NDVI", (0, 1), gray=True)
+
+
 # files
 
 
@@ -645,3 +685,145 @@ def stream_requests(spark, sf_dir):
     raster(spark, sf_dir, "requests").select("request").write.mode("overwrite").text(f"{base}/in")
     feed.watch(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("request", "feature", "valid", "quality")
+
+
+@query(duck("rgb") + "SELECT y, x, 0 AS c, r AS v FROM rgb UNION ALL SELECT y, x, 1, g FROM rgb UNION ALL SELECT y, x, 2, b FROM rgb UNION ALL SELECT y, x, 3, a FROM rgb")
+def encode_png_alpha(spark, sf_dir):
+    px = raster(spark, sf_dir, "rgb").withColumn("block", F.floor(F.col("y") / 50).cast("int"))
+    back = images.decode(images.encode(px, ["block"], ["r", "g", "b", "a"], "PNG"), ["block"], "PNG")
+    return back.select((F.col("block") * 50 + F.col("y")).alias("y"), "x", "c", "v")
+
+
+@query(duck("bands") + "SELECT band, y, x, 0 AS c, dn AS v FROM bands UNION ALL SELECT band, y, x, 1, CASE WHEN dn = 0 THEN 0 ELSE 65535 END FROM bands")
+def encode_pam16(spark, sf_dir):
+    """16-bit gray with alpha as PAM files and back."""
+    px = raster(spark, sf_dir, "bands").withColumn("a", F.when(F.col("dn") == 0, 0).otherwise(65535))
+    files = images.encode(px, ["band"], ["dn", "a"], "PNM", "uint16", alpha=True)
+    return images.decode(files, ["band"], "PNM").select("band", "y", "x", "c", "v")
+
+
+@query(_SQL["px_equalise"])
+def decode_tiff16_equalise(spark, sf_dir):
+    """16-bit TIFF tiles, decoded and stretched to 8 bits by the statistics of the whole raster."""
+    px = raster(spark, sf_dir, "radar").withColumn("block", F.floor(F.col("y") / 100).cast("int"))
+    back = images.decode(images.encode(px, ["block"], ["dn"], "TIFF", "uint16", tile=32), ["block"], "TIFF")
+    whole = back.select((F.col("block") * 100 + F.col("y")).alias("y"), "x", F.col("v").alias("dn"))
+    return op.equalise(whole, "dn").select("y", "x", "level")
+
+
+@query(duck("radar") + "SELECT y, x, CAST(floor(sqrt(CAST(((dn % 3000) - 1500) * ((dn % 3000) - 1500) + ((dn % 777) - 300) * ((dn % 777) - 300) AS DOUBLE)) + 1e-7) AS INTEGER) AS v FROM radar")
+def decode_complex_tiff(spark, sf_dir):
+    """Strips of complex 16-bit pairs, decoded to magnitudes."""
+    px = raster(spark, sf_dir, "radar").select("y", "x", F.floor(F.col("y") / 100).cast("int").alias("block"), ((F.col("dn") % 3000) - 1500).alias("i"), ((F.col("dn") % 777) - 300).alias("q"))
+    pairs = images.encode(px, ["block"], ["i", "q"], "TIFF", "int16", extra=((258, 3, [32]), (277, 3, [1]), (339, 3, [5])))
+    return images.decode(pairs, ["block"], "TIFF").select((F.col("block") * 100 + F.col("y")).alias("y"), "x", "v")
+
+
+_META_TAGS = "SELECT CAST(raster_id AS BIGINT) AS raster_id, epsg, 16 + raster_id % 5 AS width, 8 + raster_id % 3 AS height, x_min, y_max FROM meta"
+
+
+@query(duck("meta")[:-1] + f", t AS ({_META_TAGS}) SELECT raster_id, 'TIFF' AS format, width, height, 1 AS samples, 16 AS bits, 'deflate' AS compression, epsg, x_min AS xleft, y_max AS ytop, x_min + width * 10.0::DOUBLE AS xright, y_max - height * 10.0::DOUBLE AS ybottom, raster_id % 4 = 0 AS slc FROM t")
+def tiff_geo_tags(spark, sf_dir):
+    """Coordinate system and bounds of TIFF files, from their tags alone."""
+    meta = raster(spark, sf_dir, "meta").select("raster_id", "epsg", "x_min", "y_max", (F.col("raster_id") % 5 + 16).alias("width"), (F.col("raster_id") % 3 + 8).alias("height"))
+
+    def make(batches):
+        for batch in batches:
+            data = []
+            for i, epsg, x, y, w, h in batch.itertuples(index=False):
+                tags = [(33922, 12, [0.0, 0.0, 0.0, x, y, 0.0]), (33550, 12, [10.0, 10.0, 0.0]), (34735, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, int(epsg)]), (270, 2, ["a SLC product" if i % 4 == 0 else "a GRD product"])]
+                data.append(images.write_tiff(np.zeros((h, w, 1), np.uint16), extra=tags))
+            yield batch[["raster_id"]].assign(data=data)
+
+    found = headers.headers(meta.mapInPandas(make, "raster_id long, data binary"), ["raster_id"])
+    t = F.col("transform")
+    return found.select("raster_id", "format", "width", "height", "samples", "bits", "compression", "epsg", t[0].alias("xleft"), t[3].alias("ytop"), (t[0] + F.col("width") * t[1]).alias("xright"), (t[3] + F.col("height") * t[5]).alias("ybottom"), "slc")
+
+
+@query(_SQL["tie_points_parse"])
+def tiff_tie_tags(spark, sf_dir):
+    """Ground-control points of a TIFF file, from its model tie points."""
+    def make(rows):
+        rows = rows.sort_values(["gy", "gx"])
+        ties = [float(v) for r in rows.itertuples() for v in (r.px, r.py, 0, r.lon, r.lat, 0)]
+        return rows[["raster_id"]].head(1).assign(data=[images.write_tiff(np.zeros((8, 8, 1), np.uint16), extra=[(33922, 12, ties)])])
+
+    files = raster(spark, sf_dir, "tie").groupBy("raster_id").applyInPandas(make, "raster_id int, data binary")
+    points = op.points_of_tag(headers.headers(files, ["raster_id"]).select("raster_id", F.col("tie_points").alias("tag")))
+    return points.select("i", "px", "py", "lon", "lat", "grid_width")
+
+
+# whole requests
+
+_ASKED = ("NDVI@b0.pgm,b1.pgm", "HONS@b0.pgm,b1.pgm,b2.pgm", "b0.pgm,b1.pgm,b2.pgm", "colours.ppm", "NDSI@b0.pgm,b1.pgm,b2.pgm,b3.pgm:q=80", "SCL@codes.pgm", "NDVI@b0.pgm,lost.pgm", "NDVI@b0.pgm", "NDVI@b0.pgm,broken.pgm", "NDWI@b0.pgm,broken.pgm", "colours.ppm:s=2")
+_PICTURE = {
+    0: _coloured(*(_ramp("i", "NDVI", s) for s in (16, 8, 0))),
+    1: _SQL["hons"],
+    2: _SQL["rgb_composite"],
+    4: _SQL["ndsi"],
+    5: _SQL["scl_classify"].replace("a = 255", "a >= 0").replace("FROM classes", "FROM (SELECT y, x, code, 255 AS a FROM classes)"),
+}
+
+
+def _requests_sql() -> str:
+    sums = "CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a"
+    parts = [f"SELECT CAST({i} AS BIGINT) AS req_id, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height, {sums} FROM ({sql})" for i, sql in _PICTURE.items()]
+    # a picture of its own size is sampled half a pixel off, like any band
+    half = duck("rgb")[:-1] + ", e AS (SELECT max(x) AS mx, max(y) AS my FROM {src}), s AS (SELECT p.y, p.x, " + ", ".join(f"CAST(floor((p.{c} + 0.5 * (r.{c} - p.{c})) + 0.5 * ((d.{c} + 0.5 * (q.{c} - d.{c})) - (p.{c} + 0.5 * (r.{c} - p.{c}))) + 1e-7) AS INTEGER) AS {c}" for c in "rgb") + ", 255 AS a FROM {src} p, e, {src} r, {src} d, {src} q WHERE r.y = p.y AND r.x = least(p.x + 1, mx) AND d.y = least(p.y + 1, my) AND d.x = p.x AND q.y = least(p.y + 1, my) AND q.x = least(p.x + 1, mx)) SELECT * FROM s"
+    small = half.replace(", e AS", ", two AS (SELECT CAST(y / 2 AS INTEGER) AS y, CAST(x / 2 AS INTEGER) AS x, r, g, b FROM rgb WHERE y % 2 = 0 AND x % 2 = 0), e AS", 1)
+    for i, sql in ((3, half.replace("{src}", "rgb")), (10, small.replace("{src}", "two"))):
+        parts.append(f"SELECT CAST({i} AS BIGINT) AS req_id, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height, {sums} FROM ({sql})")
+    names = ["NDVI-b0-COMMA-b1", "HONS-b0-COMMA-b1-COMMA-b2", "RGB-b0-COMMA-b1-COMMA-b2", "colours", "NDSI-b0-COMMA-b1-COMMA-b2-COMMA-b3", "SCL-codes", None, None, None, None, "colours"]
+    status = ["ok"] * 6 + ["missing file", "invalid request", "unreadable file", "unreadable file", "ok"]
+    rows = ", ".join(f"({i}, '{s}', {'NULL' if n is None else repr('out/' + n + '.png')})" for i, (s, n) in enumerate(zip(status, names)))
+    return f"SELECT CAST(t.i AS BIGINT) AS req_id, t.status, t.outfile, width, height, r, g, b, a FROM (VALUES {rows}) t(i, status, outfile) LEFT JOIN ({' UNION ALL '.join(parts)}) p ON p.req_id = t.i"
+
+
+@query(_requests_sql())
+def run_requests(spark, sf_dir):
+    """Requests from strings to encoded files and back: sums of the channels of what was written, and the manifest's status."""
+    lines = spark.createDataFrame(list(enumerate(_ASKED)), "req_id long, request string")
+    path = lambda df, name: df.select(name.alias("path"), "data")
+    bands = images.encode(raster(spark, sf_dir, "bands"), ["band"], ["dn"], "PNM", "uint16")
+    one = lambda name, columns: images.encode(raster(spark, sf_dir, name).withColumn("k", F.lit(0)), ["k"], columns, "PNM")
+    files = path(bands, F.format_string("b%d.pgm", "band")).unionByName(path(one("rgb", ["r", "g", "b"]), F.lit("colours.ppm"))).unionByName(path(one("classes", ["code"]), F.lit("codes.pgm")))
+    files = files.unionByName(spark.createDataFrame([("broken.pgm", b"P5 9")], "path string, data binary"))
+    encoded, manifest = execute.run(lines, files, "PNG", "out/")
+    back = images.decode(encoded, ["req_id"], "PNG")
+    sums = back.groupBy("req_id").agg(*(F.sum(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("rgba")))
+    return manifest.join(sums, "req_id", "left").select("req_id", "status", "outfile", "width", "height", *"rgba")
+
+
+#: Bounds of the picture in Mercator, and the zooms of its tiles.
+_TILED, _TILE_ZOOMS = (0.5501, 0.3502, 0.5507, 0.3514), (7, 9, 11)
+
+
+def _tiles_sql() -> str:
+    left, top, right, bottom = _TILED
+    levels = []
+    for z in _TILE_ZOOMS:
+        n = 2.0**z
+        w, h = math.floor((right * n - left * n) * 256 + 1e-7), math.floor((bottom * n - top * n) * 256 + 1e-7)
+        x_off, y_off = (math.floor((v * n - math.floor(v * n)) * 256 + 1e-7) for v in (left, top))
+        x_first, y_first, x_end, y_end = math.floor(left * n), math.floor(top * n), math.ceil(right * n), math.ceil(bottom * n)
+        body = _resized("src", w, h, "{v}")
+        ctes, select = body[2:].rsplit("\nSELECT", 1)
+        for name in ("sz", "o", "c"):
+            ctes = ctes.replace(f"{name} AS (", f"{name}{z} AS MATERIALIZED (").replace(f"FROM {name})", f"FROM {name}{z})").replace(f"FROM {name},", f"FROM {name}{z},")
+        lerp = lambda v: _trunc(f"((p.{v} + dx * (r.{v} - p.{v})) + dy * ((d.{v} + dx * (q.{v} - d.{v})) - (p.{v} + dx * (r.{v} - p.{v}))))")
+        joins = select[select.index("FROM c JOIN") :].replace("FROM c JOIN", f"FROM c{z} c JOIN")
+        levels.append((ctes, f"SELECT {z} AS z, CAST(floor((c.x + {x_off}) / 256) + {x_first} AS INTEGER) AS tx, CAST(floor((c.y + {y_off}) / 256) + {y_first} AS INTEGER) AS ty, {lerp('r')} AS r, {lerp('a')} AS a {joins}"))
+        assert (x_off + w - 1) // 256 < x_end - x_first and (y_off + h - 1) // 256 < y_end - y_first
+    base = duck("rgb")[:-1] + ", src AS MATERIALIZED (SELECT y, x, CAST(r AS DOUBLE) AS r, CAST(a AS DOUBLE) AS a FROM rgb), " + ", ".join(c for c, _ in levels)
+    body = " UNION ALL ".join(s for _, s in levels)
+    return base + f" SELECT '1/' || z || '/' || tx || '/' || ty || '.png' AS path, CAST(65536 AS BIGINT) AS n, CAST(sum(r) + (65536 - count(*)) * 9 AS BIGINT) AS r, count(CASE WHEN a = 255 THEN 1 END) AS opaque FROM ({body}) GROUP BY z, tx, ty"
+
+
+@query(_tiles_sql())
+def encode_tiles(spark, sf_dir):
+    """Map tiles of a picture at several zooms, encoded on canvases with a fill colour, and what is in the files."""
+    px = raster(spark, sf_dir, "rgb").withColumn("raster_id", F.lit(1).cast("long"))
+    box = spark.createDataFrame([(1, *_TILED)], "raster_id long, xl double, yt double, xr double, yb double")
+    tiles = blocks.render_tiles(px, op.tile_ranges(box, _TILE_ZOOMS), ["r", "g", "b"], images.write_png, ".png", ["raster_id"], fill=9)
+    back = images.decode(tiles, ["path"], "PNG")
+    return back.groupBy("path").agg((F.count("*") / 4).cast("long").alias("n"), F.sum(F.when(F.col("c") == 0, F.col("v"))).alias("r"), F.count(F.when((F.col("c") == 3) & (F.col("v") == 255), 1)).alias("opaque"))

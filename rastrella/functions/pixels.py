@@ -68,6 +68,12 @@ def brighten(v: Column) -> Column:
     return trunc(sat01(v / F.lit(65535.0) * F.lit(2.5)) * 255)
 
 
+def gamma(v: Column) -> Column:
+    """8-bit level of a 16-bit one under a gamma of 2."""
+    share = v / F.lit(65535.0)
+    return trunc(share * share * 255)
+
+
 def rgb_parts(colour: int) -> tuple[int, int, int]:
     return colour >> 16, colour >> 8 & 255, colour & 255
 
@@ -89,6 +95,9 @@ def ramp(nd: Column, points: tuple) -> list[Column]:
     return out
 
 
+# The weights of luma and chroma in 16 and 18 bits.
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     """Limited-range Y of full-range RGB."""
     return F.shiftright(r * 16839 + g * 33059 + b * 6420 + 32768 + (16 << 16), 16)

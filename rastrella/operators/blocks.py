@@ -126,12 +126,13 @@ def _grouped(blocks: DataFrame, keys: Sequence[str], work: Callable[[dict, dict]
     return blocks.groupBy(*keys, "by", "bx").applyInArrow(run, ", ".join(x for x in (fields, schema) if x))
 
 
-def combine(px: DataFrame, name: str, bands: Sequence[int], keys: Sequence[str] = (), fill: int = 0, side: int = SIDE) -> DataFrame:
+def combine(px: DataFrame, name: str, bands: Sequence[int], keys: Sequence[str] = (), fill: int = 0, side: int = SIDE, gray: bool = False) -> DataFrame:
     """Red, green, blue and alpha of a feature, or of a composite where ``name`` is empty: ``(keys, y, x, r, g, b, a)``.
 
     ``px (keys, band, y, x, v, a)``: the grid is the first band's; the others, of whatever size, are sampled at the same
     relative place (equal sizes are half a pixel apart from their samples). Alpha comes from the first band; what is not
-    opaque takes the fill colour. Rows outside the bands are not shuffled; an empty relation gives no rows.
+    opaque takes the fill colour. With ``gray`` a feature of several bands is rendered as the gray of its first two. Rows
+    outside the bands are not shuffled; an empty relation gives no rows.
     """
     keys, wanted = list(keys), list(dict.fromkeys(bands))
     px = px.filter(F.col("band").isin(*wanted)).select(*keys, "band", "y", "x", F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"))
@@ -153,7 +154,7 @@ def combine(px: DataFrame, name: str, bands: Sequence[int], keys: Sequence[str]
             planes.append(got[..., 0])
             if alpha is None:
                 alpha, shape = trunc(got[..., 1]), (ys[0], xs[0])
-        rgb = np.where((alpha == 255)[..., None] | (name == ""), feature_rgb(name, planes), fill)
+        rgb = np.where((alpha == 255)[..., None] | (name == ""), feature_rgb("ND_UNSPEC" if gray and name and len(planes) > 1 else name, planes), fill)
         y, x = (g.ravel().astype(np.int32) for g in np.meshgrid(*shape, indexing="ij"))
         return {"y": y, "x": x, **{c: rgb[..., i].ravel().astype(np.int32) for i, c in enumerate("rgb")}, "a": alpha.ravel().astype(np.int32)}
 

@@ -196,6 +196,13 @@ def warp_utm(px: DataFrame, bounds: tuple, zone: int, width: int, height: int, o
     return got.select("y", "x", F.when(inside, trunc(F.col("v"))).otherwise(fill).alias("v"), F.when(inside, 255).otherwise(0).alias("a"))
 
 
+def points_of_tag(files: DataFrame, tag: str = "tag") -> DataFrame:
+    """Ground-control points ``(raster_id, i, px, py, lon, lat, grid_width)`` of model tie points in groups of six."""
+    six = F.transform(F.sequence(F.lit(0), (F.size(tag) / 6).cast("int") - 1), lambda i: F.struct(F.get(tag, i * 6).alias("px"), F.get(tag, i * 6 + 1).alias("py"), F.get(tag, i * 6 + 3).alias("lon"), F.get(tag, i * 6 + 4).alias("lat")))
+    points = files.filter(F.size(tag) >= 6).withColumn("p", six).withColumn("grid_width", F.size(F.filter("p", lambda p: p["py"] == 0)).cast("long"))
+    return points.select("raster_id", F.posexplode("p").alias("i", "q"), "grid_width").select("raster_id", "i", F.col("q.px").cast("int").alias("px"), F.col("q.py").cast("int").alias("py"), "q.lon", "q.lat", "grid_width")
+
+
 def tie_cells(points: DataFrame) -> DataFrame:
     """Cells of a grid of ground-control points ``(gy, gx, px, py, lat, lon)``: corners a, b, c, d clockwise, in Mercator."""
     mx, my = geo.mercator(F.col("lat"), F.col("lon"))
