@@ -131,8 +131,9 @@ def training_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     rows = rows.filter(F.col("y").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")) & (F.octet_length("t") <= SAMPLE_BYTES))
     rows = rows.select("t", "y", F.shiftrightunsigned(F.xxhash64("i", "t"), 1).alias("h"))
     known = cut(rows.groupBy("y").agg(F.count("*").alias("n")))  # a row a language
-    most = max(10, min(SAMPLE_ROWS, SAMPLE_TOTAL // max(1, known.count())))
-    near = rows.join(known, "y").filter(among_least("h", "n", most)).drop("n")
+    languages = known.count()
+    most = max(10, min(SAMPLE_ROWS, SAMPLE_TOTAL // max(1, languages)))
+    near = rows.join(F.broadcast(known) if languages <= 100_000 else known, "y").filter(among_least("h", "n", most)).drop("n")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).filter(F.col("r") <= most)
     return sorted((r["t"], r["y"]) for r in best.select("t", "y").collect())
 
