@@ -34,7 +34,7 @@ def main(args: list[str]) -> int:
     failed = 0
     for kind in chosen.whole_formats():
         kind = "PNM" if kind == "RAW" else kind
-        if kind not in ("PNG", "PNM", "JPEG"):
+        if kind not in ("PNG", "PNM", "JPEG", "WEBP"):
             logging.error("%s cannot be written", kind)
             failed = 2
             continue
