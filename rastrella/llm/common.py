@@ -65,10 +65,10 @@ def among_least(hash_: str, total: str, k: int) -> Column:
     return F.col(hash_) <= F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(4.0 * k) / F.col(total))
 
 
-def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, bits: int = RANK_BITS, slim: DataFrame | None = None) -> DataFrame:
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, bits: int = RANK_BITS, slim: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """Add ``rank`` (0-based place within the keys) and, with a weight, ``before`` (the sum of the weights in front).
 
-    Rows of one key are ordered by a hash of ``order``. The hash range is cut into ``2**bits`` buckets; rows are
+    Rows of one key are ordered by a hash of ``order``, or by a 60-bit ``key`` if it is given. The hash range is cut into ``2**bits`` buckets; rows are
     numbered inside a bucket, and the buckets' totals, one small row each, are summed to the bucket's offset. So no
     task has to hold a whole key, however many rows it has. Keys must not be null. ``df`` is read twice, or once if
     ``slim`` has the same rows with fewer columns.
@@ -76,7 +76,8 @@ def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wei
     keys = list(keys)
 
     def mark(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_k", F.shiftrightunsigned(F.xxhash64(*order), 1)).withColumn("_b", F.shiftright("_k", 63 - bits).cast("int"))
+        hashed, width = (F.shiftrightunsigned(F.xxhash64(*order), 1), 63) if key is None else (key, 60)
+        rows = rows.withColumn("_k", hashed).withColumn("_b", F.shiftright("_k", width - bits).cast("int"))
         return rows.withColumn("_w", weight if weight is not None else F.lit(0))
 
     marked = mark(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, packed, spread_rank, table, unpacked
@@ -37,10 +37,16 @@ def targets(sizes: dict, weights: Sequence[int] = WEIGHTS, share: Fraction = SHA
     return out
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of an MD5 hash of identifier and text: an order that looks random and that SQL can give too."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_EPOCHS, carry: bool = False) -> DataFrame:
     """Identifiers with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; all columns too if ``carry``.
 
-    Each source is ordered by a hash of identifier and text. Distributed prefix sums give the words in front of each
+    Each source is ordered by an MD5 hash of identifier and text. Distributed prefix sums give the words in front of each
     document. Whole epochs of a source are taken as often as they fit in its target; the last epoch is cut where the
     running sum comes nearest to the rest, at a document's end. So a document is taken at most ``most`` times and a
     source misses its target by half a document at most. The driver gets one row for each source. A null text has no
@@ -49,7 +55,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     spark = docs.sparkSession
     source_key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))
     keep = [packed(docs.columns).alias("_row")] if carry else []
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), n_words(F.col(f"`{text}`")).alias("_size"), source_key.alias("_src"), F.xxhash64(F.col(f"`{text}`")).alias("_t"), *keep)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), n_words(F.col(f"`{text}`")).alias("_size"), source_key.alias("_src"), order_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("_t"), *keep)
     slim = cut(rows.drop("_row"))  # words are counted once for the sums; whole rows are never checkpointed
     sizes = {r["_src"]: r["n"] for r in slim.groupBy("_src").agg(F.sum("_size").alias("n")).collect()}
     named = {k[1:] if k else None: v for k, v in sizes.items()}
@@ -58,7 +64,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         whole = int(target // named[name]) if named[name] else 0
         plan.append(("" if name is None else "=" + name, int(named[name]), float(target), whole, float(target - whole * named[name])))
     plan = spark.createDataFrame(plan, "_src string, source_size long, target double, _whole int, _rest double")
-    ranked = spread_rank(rows if carry else slim, ["_src"], [F.col("doc_id"), F.col("_t")], weight=F.col("_size"), slim=slim)
+    ranked = spread_rank(rows if carry else slim, ["_src"], [F.col("doc_id"), F.col("_t")], weight=F.col("_size"), slim=slim, key=F.col("_t"))
     out = ranked.join(plan, "_src").withColumn("copies", F.col("_whole") + ((F.col("_rest") > 0) & (F.col("before") + F.col("_size") / 2 <= F.col("_rest"))).cast("int"))
     out = out.withColumn("copies", F.least("copies", F.lit(most))).withColumn("taken", (F.col("copies") * F.col("_size")).cast("long"))
     cols = ["doc_id", F.col("_size").alias("size"), "source_size", "target", "copies", "taken"]
@@ -75,3 +81,21 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Targets by water-filling: sources in the order of size over weight are full as long as their share of the rest exceeds
+#: twice their size. Amounts are doubled so that all stay whole numbers until the last division.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 15) AS BIGINT) AS k FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s0),
+s2 AS (SELECT *, row_number() OVER (ORDER BY n / w, source) AS i FROM s1),
+s3 AS (SELECT *, 3 * sum(n) OVER () - 4 * (sum(n) OVER (ORDER BY i) - n) AS rem, sum(w) OVER () - sum(w) OVER (ORDER BY i) + w AS ws FROM s2),
+f AS (SELECT CAST(arg_min(rem, i) AS BIGINT) AS rem, CAST(arg_min(ws, i) AS BIGINT) AS ws, min(i) AS i FROM s3 WHERE NOT rem * w > 4 * n * ws),
+t AS (SELECT s3.source, n, CASE WHEN s3.i < f.i THEN 4 * n * f.ws ELSE f.rem * w END AS num, f.ws FROM s3, f),
+p AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE num // (2 * ws * n) END AS whole FROM t),
+b AS (SELECT d.*, n, CAST(num AS DOUBLE) / (2 * ws) AS target, whole, CAST(num - whole * n * 2 * ws AS DOUBLE) / (2 * ws) AS rest,
+        sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, n AS source_size, target, CAST(least(whole + CASE WHEN rest > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END, 2) * size AS BIGINT) AS taken FROM b
+"""

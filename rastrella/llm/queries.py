@@ -29,6 +29,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL of the queries that it can express."""
-    from . import exact_dedup
+    from . import exact_dedup, mixing
 
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -292,15 +292,16 @@ def test_mix(spark, hard_docs, no_docs):
     first = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect())
     assert first == sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(5)).collect())
     # which documents are taken, from the hashes alone and plain sums
-    keyed = docs.select("doc_id", "source", "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text")), 1).alias("k")).collect()
+    keyed = docs.select("doc_id", "source", "text").collect()
     sizes = Counter()
     for r in keyed:
         sizes[r["source"]] += len(r["text"].encode().split())
     plain, goals = {}, mixing.targets(dict(sizes))
+    place = lambda r: hashlib.md5(f"{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()[:15]
     for source in sizes:
         whole, before = int(goals[source] // sizes[source]), 0
         rest = goals[source] - whole * sizes[source]
-        for r in sorted((r for r in keyed if r["source"] == source), key=lambda r: r["k"]):
+        for r in sorted((r for r in keyed if r["source"] == source), key=place):
             n = len(r["text"].encode().split())
             plain[r["doc_id"]] = n * min(2, whole + (rest > 0 and before + Fraction(n, 2) <= rest))
             before += n
