@@ -42,7 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each result is written to the shared folder and read again."""
+    """All stages in turn over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's files go when the next stage's are written, but for those that the last stage reads.
+    """
     from rastrella.llm.token_files import shared_folder
 
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}-{uuid.uuid4().hex}"
@@ -51,4 +54,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            _delete(spark, f"{folder}/{i - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever store it is in, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
