@@ -209,3 +209,69 @@ def render_tiles(px: DataFrame, layout: DataFrame, channels: Sequence[str], enco
 
     tiles = _grouped(to_blocks(ready, side), [*keys, "z"], work, "tx int, ty int, path string, opaque bigint, data binary")
     return tiles
+
+
+# windows: samples as arrays, for scenes of which a row for each sample would be too many
+
+
+WINDOW = "by int, bx int, band int, grid_h int, grid_w int, h int, w int, top int, left int, rows int, deep boolean, data binary"
+
+
+def windows(img: np.ndarray, band: int, grid: tuple[int, int] | None = None, side: int = SIDE) -> dict[str, list]:
+    """The parts of one channel (height, width) that the blocks of a grid (height, width) need, as columns of ``WINDOW``.
+
+    A window holds the samples of its block and the next row and column, so that blocks can be sampled apart: a scene is
+    dealt out with hardly a byte twice.
+    """
+    (h, w), (grid_h, grid_w) = img.shape, grid or img.shape
+    out: dict[str, list] = {f.split()[0]: [] for f in WINDOW.split(", ")}
+    for by in range(-(-grid_h // side)):
+        _, y0, y1, _ = axis(by, side, h, grid_h, 0)
+        for bx in range(-(-grid_w // side)):
+            _, x0, x1, _ = axis(bx, side, w, grid_w, 0)
+            part = np.ascontiguousarray(img[y0[0] : y1[-1] + 1, x0[0] : x1[-1] + 1])
+            row = (by, bx, band, grid_h, grid_w, h, w, int(y0[0]), int(x0[0]), part.shape[0], img.dtype.itemsize == 2, part.tobytes())
+            for column, value in zip(out.values(), row):
+                column.append(value)
+    return out
+
+
+def combine_windows(df: DataFrame, name: str, bands: Sequence[int], keys: Sequence[str] = (), fill: int = 0, side: int = SIDE, encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """A feature or composite of windows ``(keys, WINDOW)``: ``(keys, by, bx, h, w, data)``, the block's four channels or its file.
+
+    Samples of 16 bits are digital numbers: 0 is transparent in the first band, the rest becomes a reflectance level. One
+    exchange of two bytes a sample; bands may differ in size if all were cut for the first one's grid.
+    """
+    keys, wanted = list(keys), list(dict.fromkeys(bands))
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {r["band"]: r for r in table.to_pylist()}
+        if any(b not in rows for b in wanted):
+            return table.slice(0, 0).select([*keys, "by", "bx"]).append_column("h", pa.array([], pa.int32())).append_column("w", pa.array([], pa.int32())).append_column("data", pa.array([], pa.binary()))
+        planes, alpha = [], None
+        for b in bands:
+            r = rows[b]
+            ys, xs = axis(r["by"], side, r["h"], r["grid_h"], 0), axis(r["bx"], side, r["w"], r["grid_w"], 0)
+            raw = np.frombuffer(r["data"], np.uint16 if r["deep"] else np.uint8).reshape(r["rows"], -1)
+            values = raw.astype(np.float64)
+            level = np.floor(np.clip((values - pixels.BOA_OFFSET) / float(pixels.BOA_RANGE), 0, 1) * 65535 + TINY) if r["deep"] else values
+            a, c, e, g = ys[1] - r["top"], ys[2] - r["top"], xs[1] - r["left"], xs[2] - r["left"]
+            mix = lambda v: _mixed(v, a, c, e, g, ys[3][:, None], xs[3][None, :])  # noqa: B023, E731
+            planes.append(mix(level if name else level // 256 if r["deep"] else level))
+            if alpha is None:
+                alpha = trunc(mix(np.where(raw == 0, 0.0, 255.0))) if r["deep"] and not raw.all() else np.full(planes[0].shape, 255)
+        rgb = np.where((alpha == 255)[..., None] | (name == ""), feature_rgb(name, planes), fill)
+        img = np.concatenate([rgb, alpha[..., None]], axis=2).astype(np.uint8)
+        first = table.slice(0, 1).select([*keys, "by", "bx"])
+        size = [pa.array([n], pa.int32()) for n in img.shape[:2]]
+        return first.append_column("h", size[0]).append_column("w", size[1]).append_column("data", pa.array([encode(img) if encode else img.tobytes()], pa.binary()))
+
+    schema = ", ".join(x for x in (fields, "by int, bx int, h int, w int, data binary") if x)
+    return df.filter(F.col("band").isin(*wanted)).groupBy(*keys, "by", "bx").applyInArrow(run, schema)
+
+
+def _mixed(v: np.ndarray, a: np.ndarray, c: np.ndarray, e: np.ndarray, g: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """Bilinear samples at rows a and c, columns e and g."""
+    across = v[:, e] + dx * (v[:, g] - v[:, e])
+    return across[a] + dy * (across[c] - across[a])

@@ -179,3 +179,22 @@ def test_request_prefix_has_nine_characters(spark):
     rows = spark.createDataFrame([("ABCDEFGHIJNDVI@x",), ("MY_NDVI_X@x",), ("x",)], "r string")
     assert [r[0] for r in rows.select(requests.prefix(F.col("r"))).collect()] == ["ABCDEFGHI", "MY_NDVI_X", ""]
     assert [r[0] for r in rows.select(requests.feature(F.col("r"))).collect()] == [None, "NDVI", ""]
+
+
+@pytest.mark.parametrize("sizes", [((30, 21), (30, 21)), ((30, 21), (15, 11)), ((9, 7), (20, 3))])
+def test_windows_equal_samples(spark, sizes):
+    """The array form of a feature, from files, against the form that has a row for each sample."""
+    rng = np.random.default_rng(9)
+    raw = [np.where(rng.random(s) < 0.03, 0, rng.integers(900, 12_000, s)).astype(np.uint16) for s in sizes]
+    files = [(1, b, images.write_tiff(v[..., None]) if b else images.write_pnm(v[..., None]), *sizes[0]) for b, v in enumerate(raw)] + [(2, 0, b"broken", 5, 5)]
+    frame_ = spark.createDataFrame(files, "k long, band int, data binary, grid_h int, grid_w int")
+    got = blocks.combine_windows(images.decode_windows(frame_, ["k"], side=8), "NDMI", (0, 1), ["k"], fill=4, side=8).collect()
+    out = np.full((*sizes[0], 4), -1)
+    for r in got:
+        assert r["k"] == 1
+        out[r["by"] * 8 : r["by"] * 8 + r["h"], r["bx"] * 8 : r["bx"] * 8 + r["w"]] = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 4)
+    levels = [np.floor(np.clip((v.astype(float) - 1000) / 10000, 0, 1) * 65535 + 1e-7) for v in raw]
+    arrays = {b: (levels[b], np.where(raw[b] == 0, 0, 255)) for b in (0, 1)}
+    assert (out == image_of(blocks.combine(frame(spark, arrays), "NDMI", (0, 1), fill=4, side=8).collect(), *sizes[0], "rgba")).all()
+    plain = blocks.combine_windows(images.decode_windows(frame_.drop("grid_h", "grid_w").filter("k = 1 and band = 0"), ["k"], side=8), "", (0,), ["k"], side=8, encode=images.write_png).collect()
+    assert all(images.read_png(bytes(r["data"])).shape == (r["h"], r["w"], 4) for r in plain)
