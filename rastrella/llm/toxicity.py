@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -178,6 +178,25 @@ def _backward(model: dict, x: np.ndarray, mask: np.ndarray, tape: list, slope: n
     return g | {"u": d_u}, dx
 
 
+def _gradients(model: dict, words: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray, slope_of: Callable[[np.ndarray], np.ndarray]) -> dict:
+    """Gradients of all trained parameters over windows of the words ``ids``; ``slope_of`` gives the loss's slope by each logit."""
+    vectors, (word_bucket, char_bucket, owner, count) = _inputs(model, words)
+    x, mask, word = _gather(_project(model, vectors), ids, start, size)
+    logit, tape = _forward(model, x, mask, True)
+    gradient, dx = _backward(model, x, mask, tape, slope_of(logit))
+    d_projected = np.zeros((len(words) + 1, 2, 3 * HIDDEN), dx.dtype)
+    for k in (0, 1):
+        np.add.at(d_projected[:, k], word[:, k], dx[:, k])
+    d_projected = d_projected[:-1]
+    gradient["w"] = np.einsum("wd,wkh->kdh", vectors, d_projected)
+    gradient["b"] = d_projected.sum(0)
+    d_vectors = np.einsum("wkh,kdh->wd", d_projected, model["w"])
+    gradient["words"], gradient["chars"] = np.zeros_like(model["words"]), np.zeros_like(model["chars"])
+    np.add.at(gradient["words"], word_bucket, d_vectors[:, :WORD_DIM])
+    np.add.at(gradient["chars"], char_bucket, (d_vectors[:, WORD_DIM : WORD_DIM + CHAR_DIM] / count)[owner])
+    return gradient
+
+
 def train(rows: list[tuple[str, int]], seed: int = 11) -> dict:
     """Model from ``(text, label)`` rows. Without two labels to tell apart it only knows their share.
 
@@ -222,21 +241,9 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> dict:
             y = labels[doc[pick]].astype(np.float32)
             cut_ids = np.concatenate([ids[s : s + w] for s, w in zip(start[pick], width[pick])])
             used, local = np.unique(cut_ids if len(cut_ids) else np.zeros(1, np.int64), return_inverse=True)
-            vectors, (wb, cb, owner, count) = _inputs(model, [vocabulary[i] for i in used])
-            x, mask, word = _gather(_project(model, vectors), local, np.cumsum(width[pick]) - width[pick], width[pick])
-            logit, tape = _forward(model, x, mask, True)
-            slope = ((_sigmoid(logit) - y) / share[labels[doc[pick]]] / (2 * len(pick))).astype(np.float32)
-            gradient, dx = _backward(model, x, mask, tape, slope)
-            d_projected = np.zeros((len(used) + 1, 2, 3 * HIDDEN), np.float32)
-            for k in (0, 1):
-                np.add.at(d_projected[:, k], word[:, k], dx[:, k])
-            d_projected = d_projected[:-1]
-            gradient["w"] = np.einsum("wd,wkh->kdh", vectors, d_projected)
-            gradient["b"] = d_projected.sum(0)
-            d_vectors = np.einsum("wkh,kdh->wd", d_projected, model["w"])
-            gradient["words"], gradient["chars"] = np.zeros_like(model["words"]), np.zeros_like(model["chars"])
-            np.add.at(gradient["words"], wb, d_vectors[:, :WORD_DIM])
-            np.add.at(gradient["chars"], cb, (d_vectors[:, WORD_DIM : WORD_DIM + CHAR_DIM] / count)[owner])
+            weight = (1 / share[labels[doc[pick]]] / (2 * len(pick))).astype(np.float32)
+            slope_of = lambda logit: ((_sigmoid(logit) - y) * weight).astype(np.float32)  # noqa: B023, E731
+            gradient = _gradients(model, [vocabulary[i] for i in used], local, np.cumsum(width[pick]) - width[pick], width[pick], slope_of)
             step += 1
             rate = STEP * (1 - 0.8 * epoch / EPOCHS)
             for k in trained:

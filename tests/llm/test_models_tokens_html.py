@@ -211,29 +211,61 @@ def test_elastic_net_is_sparse():
 # toxicity
 
 
+def small_network(rng):
+    rows = [(" ".join(rng.choice(["ab", "cd", "ef", "bad"], 40)), int(i % 2)) for i in range(8)]
+    model = {k: v.astype(np.float64) if isinstance(v, np.ndarray) and v.dtype == np.float32 else v for k, v in toxicity.train(rows).items()}
+    return model | {"bias": float(model["bias"])}, ["ab", "cd", "ef", "bad"]
+
+
+def test_forward_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    model, words = small_network(rng)
+    ids, windows = rng.integers(0, 4, 50), [(0, 7), (10, 4), (18, 32), (49, 1)]
+    x, mask, _ = toxicity._gather(toxicity._project(model, toxicity._inputs(model, words)[0]), ids, *map(np.array, zip(*windows)))
+    got = toxicity._forward(model, x, mask, False)[0]
+    inputs, h, sig = toxicity._inputs(model, words)[0].astype(float), toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    for (start, size), value in zip(windows, got):
+        states = np.zeros((size, 2 * h))
+        for k in (0, 1):
+            state = np.zeros(h)
+            for t in range(size) if k == 0 else reversed(range(size)):
+                a, b = inputs[ids[start + t]] @ model["w"][k] + model["b"][k], state @ model["u"][k]
+                r, z = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+                states[t, k * h : (k + 1) * h] = state
+        weight = np.exp(np.tanh(states @ model["att"]) @ model["att_v"])
+        assert value == pytest.approx(float((weight / weight.sum()) @ states @ model["out"] + model["bias"]), abs=1e-4)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    rows = [(" ".join(rng.choice(["ab", "cd", "ef", "bad"], 40)), int(i % 2)) for i in range(8)]
-    model = toxicity.train(rows)
-    words = ["ab", "cd", "ef", "bad"]
+    model, words = small_network(rng)
     ids = rng.integers(0, 4, 50)
     start, size = np.array([0, 10, 20]), np.array([7, 4, 9])
-    model = {k: v.astype(np.float64) if isinstance(v, np.ndarray) and v.dtype == np.float32 else v for k, v in model.items()}
-    model["bias"] = float(model["bias"])
 
     def loss(m):
-        x, mask, _ = toxicity._gather(toxicity._project(m, toxicity._inputs(m, words)[0]), ids, start, size)
-        logit, tape = toxicity._forward(m, x, mask, True)
-        return np.logaddexp(0, logit).sum(), logit, tape, x, mask
-
-    _, logit, tape, x, mask = loss(model)
-    got, _ = toxicity._backward(model, x, mask, tape, toxicity._sigmoid(logit))
-    for name in ("u", "att", "att_v", "out"):
-        at = tuple(rng.integers(0, s) for s in model[name].shape)
-        up, down = ({**model, name: model[name].copy()} for _ in range(2))
-        up[name][at] += 1e-2
-        down[name][at] -= 1e-2
-        assert got[name][at] == pytest.approx((loss(up)[0] - loss(down)[0]) / 2e-2, rel=0.05, abs=2e-3)
+        x, mask, _ = toxicity._gather(toxicity._project(m, toxicity._inputs(m, words)[0]).astype(float), ids, start, size)
+        return np.logaddexp(0, toxicity._forward(m, x, mask, False)[0].astype(float)).sum()
+
+    got = toxicity._gradients(model, words, ids, start, size, toxicity._sigmoid)
+    for name in ("u", "att", "att_v", "out", "w", "b", "words", "chars"):
+        places = np.argwhere(np.abs(got[name]) >= np.quantile(np.abs(got[name]), 0.9))
+        for at in map(tuple, places[rng.integers(0, len(places), 3)]):
+            up, down = ({**model, name: model[name].copy()} for _ in range(2))
+            up[name][at] += 1e-2
+            down[name][at] -= 1e-2
+            assert got[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.05, abs=3e-3), name
+    assert got["bias"] == pytest.approx((loss({**model, "bias": model["bias"] + 0.01}) - loss({**model, "bias": model["bias"] - 0.01})) / 0.02, rel=0.02)
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    """Labelled rows that nothing was learned from; no list of words is asked."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(toxicity.training_rows(docs, labels))
+    rows = docs.join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0").select("text", "toxic").collect()
+    score = toxicity.Scorer(model).scores([r["text"] for r in rows])
+    toxic = np.array([r["toxic"] for r in rows]) == 1
+    assert toxic.sum() > 50 and (score[toxic] >= 0.5).mean() >= 0.85 and (score[~toxic] >= 0.5).mean() <= 0.06
 
 
 def test_windows_cover_every_word():
