@@ -270,9 +270,9 @@ def _in_blocks(met: DataFrame) -> DataFrame:
 
     Every two rows of a bucket meet in one run; ``side`` tells the blocks of a run apart, -1 where it is one block.
     """
-    large = met.groupBy("gram").agg(F.count("*").alias("_m")).filter(F.col("_m") > BLOCK)  # few: one for BLOCK rows at most
+    large = cut(met.groupBy("gram").agg(F.count("*").alias("_m")).filter(F.col("_m") > BLOCK))  # one for BLOCK rows at most
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("_b")).cast("int")
-    spread = met.join(large, "gram", "left").withColumn("_b", F.ceil(F.coalesce("_m", F.lit(1)) / F.lit(BLOCK)).cast("int")).withColumn("_i", own)
+    spread = met.join(F.broadcast(large) if large.count() <= 100_000 else large, "gram", "left").withColumn("_b", F.ceil(F.coalesce("_m", F.lit(1)) / F.lit(BLOCK)).cast("int")).withColumn("_i", own)
     spread = spread.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     run = F.xxhash64("gram", F.least("_i", "_j"), F.greatest("_i", "_j"))
     side = F.when(F.col("_i") == F.col("_j"), -1).otherwise((F.col("_i") > F.col("_j")).cast("int"))
