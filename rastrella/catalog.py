@@ -753,6 +753,21 @@ def tiff_tie_tags(spark, sf_dir):
     return points.select("i", "px", "py", "lon", "lat", "grid_width")
 
 
+#: A JPEG 2000 codestream of 12 x 10 pixels in two tiles, whose samples are 8 x + 5 y.
+_JP2 = (
+    "ff4fff51002900000000000c0000000a00000000000000000000000c0000000800000000000000000001070101ff52000c00000001000201010001ff64000a000172656d61726bff5c000a"
+    "4048505058505058ff90000a0000000000330001ff93cfc01c07a26c7b83153fc0f9c1c07c80c01144df0b3c3fc07c81201f08602c5bff7f03824fff90000a0001000000260001ff93c7da"
+    "08062bb247c0f9c1000d9fc07c80a01f0840140f0299ffd9"
+)
+
+
+@query(duck("meta") + "SELECT raster_id, CAST(gy.i AS INTEGER) AS y, CAST(gx.i AS INTEGER) AS x, CAST(8 * gx.i + 5 * gy.i AS INTEGER) AS v FROM meta, range(10) gy(i), range(12) gx(i)")
+def decode_jp2(spark, sf_dir):
+    """A JPEG 2000 file for each footprint, decoded tile by tile."""
+    files = raster(spark, sf_dir, "meta").select("raster_id", F.unhex(F.lit(_JP2)).alias("data"))
+    return images.decode(files, ["raster_id"]).select("raster_id", "y", "x", "v")
+
+
 # whole requests
 
 _ASKED = ("NDVI@b0.pgm,b1.pgm", "HONS@b0.pgm,b1.pgm,b2.pgm", "b0.pgm,b1.pgm,b2.pgm", "colours.ppm", "NDSI@b0.pgm,b1.pgm,b2.pgm,b3.pgm:q=80", "SCL@codes.pgm", "NDVI@b0.pgm,lost.pgm", "NDVI@b0.pgm", "NDVI@b0.pgm,broken.pgm", "NDWI@b0.pgm,broken.pgm", "colours.ppm:s=2")
