@@ -93,6 +93,9 @@ def feature_rgb(name: str, b: Sequence[np.ndarray]) -> np.ndarray:
         return np.stack([trunc(x) for x in (b if len(b) == 3 else [b[0]] * 3)], axis=-1)
     if name == "HONS":
         return np.stack([trunc(_sat(np.cbrt(0.6 * x / 65535.0 - 0.035)) * 255) for x in b[:3]], axis=-1)
+    if name == "SCL":
+        code, table = trunc(b[0]), np.array([pixels.rgb_parts(c) for c in pixels.CLASS_COLOURS])
+        return np.where(((code > 0) & (code < len(table)))[..., None], table[np.clip(code, 0, len(table) - 1)], 0)
     nd = (b[0] - b[1]) / (b[0] + b[1] + 1e-9)
     if name in pixels.RAMPS:
         return ramp(nd, pixels.RAMPS[name])
@@ -101,9 +104,6 @@ def feature_rgb(name: str, b: Sequence[np.ndarray]) -> np.ndarray:
     if name == "NDSI":
         bright = lambda x: trunc(_sat(x / 65535.0 * 2.5) * 255)
         return np.stack([np.where(nd > pixels.SNOW_LIMIT, snow, bright(x)) for snow, x in zip(pixels.SNOW_COLOUR, (b[2], b[0], b[3]))], axis=-1)
-    if name == "SCL":
-        code, table = trunc(b[0]), np.array([pixels.rgb_parts(c) for c in pixels.CLASS_COLOURS])
-        return np.where(((code > 0) & (code < len(table)))[..., None], table[np.clip(code, 0, len(table) - 1)], 0)
     raise ValueError(f"unknown feature {name}")
 
 
@@ -161,6 +161,41 @@ def combine(px: DataFrame, name: str, bands: Sequence[int], keys: Sequence[str]
     return _grouped(blocks, keys, work, "y int, x int, r int, g int, b int, a int")
 
 
+def combine_each(px: DataFrame, names: Sequence[str], keys: Sequence[str], fill: int = 0, side: int = SIDE) -> DataFrame:
+    """``combine`` for rasters of different features in one exchange: ``px`` also has ``which``, the place in ``names``.
+
+    All bands of a raster that are there take part, in their order. Codes (SCL) are taken from the nearest sample, as they
+    have no values in between.
+    """
+    keys = list(keys)
+    px = px.select(*keys, "which", "band", "y", "x", F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"))
+    size = sizes(px, [*keys, "band"])
+    grid = size.filter("band = 0").select(*keys, F.col("w").alias("out_w"), F.col("h").alias("out_h"))
+    blocks = to_blocks(px.join(size.join(grid, keys), [*keys, "band"]).withColumns({"off_x": F.lit(0), "off_y": F.lit(0)}), side)
+
+    def work(key: dict, rows: dict) -> dict:
+        name, planes, alpha, shape = names[int(rows["which"][0])], [], None, None
+        for b in range(int(rows["band"].max()) + 1):
+            at = np.flatnonzero(rows["band"] == b)
+            if not len(at):
+                return {c: np.zeros(0, np.int32) for c in ("y", "x", "r", "g", "b", "a")}
+            one = lambda c: int(rows[c][at[0]])  # noqa: B023, E731
+            ys, xs = axis(key["by"], side, one("h"), one("out_h"), 0), axis(key["bx"], side, one("w"), one("out_w"), 0)
+            if name == "SCL":
+                ys, xs = ((*a[:3], np.zeros(len(a[0]))) for a in (ys, xs))
+            got = sample(rows["y"][at], rows["x"][at], np.stack([rows["v"][at], rows["a"][at]], axis=1), ys, xs)
+            planes.append(got[..., 0])
+            if alpha is None:
+                alpha, shape = trunc(got[..., 1]), (ys[0], xs[0])
+        if name == "SCL":
+            alpha = np.where((planes[0] > 0) & (planes[0] < len(pixels.CLASS_COLOURS)) & (alpha == 255), 255, 0)
+        rgb = np.where((alpha == 255)[..., None] | (name == ""), feature_rgb(name, planes), fill)
+        y, x = (g.ravel().astype(np.int32) for g in np.meshgrid(*shape, indexing="ij"))
+        return {"y": y, "x": x, **{c: rgb[..., i].ravel().astype(np.int32) for i, c in enumerate("rgb")}, "a": alpha.ravel().astype(np.int32)}
+
+    return _grouped(blocks, keys, work, "y int, x int, r int, g int, b int, a int")
+
+
 def resample(px: DataFrame, values: Sequence[str], levels: Sequence[tuple[int, int, int]], keys: Sequence[str] = (), side: int = SIDE) -> DataFrame:
     """Bilinear samples of a raster on several grids ``(z, width, height)`` at once: ``(keys, z, y, x, values)``."""
     keys = list(keys)
