@@ -393,6 +393,37 @@ def _mercator_boxes(spark, sf_dir):
     return _footprints(spark, sf_dir).withColumns({"xl": xl, "yt": yt, "xr": xr, "yb": yb})
 
 
+def _inverse_sql(x: str, y: str) -> tuple[str, str]:
+    """Latitude and longitude of UTM coordinates in the CTE ``p (px, py, zone)``, from the published series' literals."""
+    k = f"CAST({geo._K0 * geo._RECT!r} AS DOUBLE)"
+    xi, eta = f"({y} / {k})", f"(({x} - 500000) / {k})"
+    a, b = xi, eta
+    for j, c in enumerate(geo._BETA, 1):
+        a += f" - CAST({c!r} AS DOUBLE) * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})"
+        b += f" - CAST({c!r} AS DOUBLE) * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})"
+    chi = f"asin(sin({a}) / cosh({b}))"
+    return f"degrees({chi}" + "".join(f" + CAST({d!r} AS DOUBLE) * sin({2 * j} * {chi})" for j, d in enumerate(geo._DELTA, 1)) + ")", f"zone * 6 - 183 + degrees(atan2(sinh({b}), cos({a})))"
+
+
+def _footprint_sql() -> str:
+    corners = {"tl": ("x_min", "y_max"), "tr": ("x_min + width * px_w", "y_max"), "br": ("x_min + width * px_w", "y_max + height * px_h"), "bl": ("x_min", "y_max + height * px_h")}
+    picked = ", ".join(f"round({e}, 8) AS {n}_{k}" for n, (x, y) in corners.items() for k, e in zip(("lat", "lon"), _inverse_sql(f"({x})", f"({y})")))
+    return duck("meta")[:-1] + f", p AS (SELECT *, epsg % 100 AS zone FROM meta) SELECT raster_id, {picked} FROM p"
+
+
+@query(_footprint_sql())
+def utm_footprint(spark, sf_dir):
+    """Corners of the footprints in degrees, from their affine transforms and coordinate systems."""
+    meta = raster(spark, sf_dir, "meta")
+    zone, south = geo.zone_of(F.col("epsg"))
+    x0, y0 = F.col("x_min"), F.col("y_max")
+    x1, y1 = x0 + F.col("width") * F.col("px_w"), y0 + F.col("height") * F.col("px_h")
+    out = []
+    for name, (x, y) in {"tl": (x0, y0), "tr": (x1, y0), "br": (x1, y1), "bl": (x0, y1)}.items():
+        out += [F.round(c, 8).alias(f"{name}_{k}") for k, c in zip(("lat", "lon"), geo.geographic_of_utm(x, y, zone, south))]
+    return meta.select("raster_id", *out)
+
+
 # warps
 
 _UTM_BOX, _UTM_ZONE, _UTM_OUT = (400000.0, 5600000.0, 500000.0, 5450000.0), 33, (60, 80)

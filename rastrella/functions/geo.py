@@ -55,6 +55,26 @@ def utm_inverse(x: float, y: float, zone: int, south: bool = False) -> tuple[flo
     return math.degrees(phi), zone * 6 - 183 + math.degrees(math.atan2(math.sinh(b), math.cos(a)))
 
 
+def geographic_of_utm(x: Column, y: Column, zone: Column, south: Column | bool = False) -> tuple[Column, Column]:
+    """(lat, lon) of eastings and northings, as columns."""
+    shift = F.when(F.lit(south) if isinstance(south, bool) else south, 1e7).otherwise(0.0)
+    xi, eta = (y - shift) / F.lit(_K0 * _RECT), (x - F.lit(_E0)) / F.lit(_K0 * _RECT)
+    a, b = xi, eta
+    for j, c in enumerate(_BETA, 1):
+        a = a - F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b - F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + F.lit(d) * F.sin(2 * j * chi)
+    return F.degrees(phi), zone * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a)))
+
+
+def zone_of(epsg: Column) -> tuple[Column, Column]:
+    """UTM zone and whether it is a southern one, of an EPSG code."""
+    return epsg % 100, epsg >= 32701
+
+
 def mercator_point(lat: float, lon: float) -> tuple[float, float]:
     return (math.pi + math.radians(lon)) / (2 * math.pi), (math.pi - math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))) / (2 * math.pi)
 

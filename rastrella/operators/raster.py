@@ -212,27 +212,40 @@ def tie_cells(points: DataFrame) -> DataFrame:
     return p.filter("b is not null and c is not null and d is not null").select("gy", "gx", F.col("p").alias("a"), "b", "c", "d")
 
 
-def _cross(m: str, n: str) -> Column:
-    dx, dy = F.col(n)["x"] - F.col(m)["x"], F.col(n)["y"] - F.col(m)["y"]
-    return dx * (F.col("my") - F.col(m)["y"]) - dy * (F.col("mx") - F.col(m)["x"])
+def _cross(cell: Column | None, m: str, n: str) -> Column:
+    """On which side of the edge from m to n the point ``mx, my`` lies; corners are fields of ``cell``, or columns."""
+    of = (lambda k: F.col(k)) if cell is None else (lambda k: cell[k])
+    dx, dy = of(n)["x"] - of(m)["x"], of(n)["y"] - of(m)["y"]
+    return dx * (F.col("my") - of(m)["y"]) - dy * (F.col("mx") - of(m)["x"])
 
 
-def locate_in_cells(out: DataFrame, cells: DataFrame, bounds: tuple, buckets: int = 16) -> DataFrame:
+#: Cells of a grid that are broadcast; a larger grid is joined by bucket.
+MOST_CELLS = 50_000
+
+
+def locate_in_cells(out: DataFrame, cells: DataFrame, bounds: tuple, buckets: int | None = None) -> DataFrame:
     """Each point ``(y, x, mx, my)`` with the first cell, by row and column, that holds it; points in no cell are left out.
 
-    Cells are dealt to the buckets of a coarse grid that their box touches, so that the join is on equal buckets and the
-    exact test only sees cells near a point.
+    Cells are dealt to the buckets of a coarse grid that their box touches, by default about as many buckets as cells, and
+    gathered by bucket; a point meets its bucket's few cells in one row, and the exact test is an expression on it. Up to
+    ``MOST_CELLS`` cells are broadcast, so that points are not shuffled at all.
     """
     left, top, right, bottom = bounds
-    bx = lambda v: F.floor((v - left) / (right - left) * buckets).cast("int")
-    by = lambda v: F.floor((v - top) / (bottom - top) * buckets).cast("int")
+    count = cells.count()
+    side = buckets or max(1, min(4096, int(count**0.5) + 1))
+    bx = lambda v: F.floor((v - left) / (right - left) * side).cast("int")
+    by = lambda v: F.floor((v - top) / (bottom - top) * side).cast("int")
     corner = lambda f, k: f(*(F.col(c)[k] for c in "abcd"))
     spread = cells.withColumn("_bx", F.explode(F.sequence(bx(corner(F.least, "x")), bx(corner(F.greatest, "x"))))).withColumn("_by", F.explode(F.sequence(by(corner(F.least, "y")), by(corner(F.greatest, "y")))))
-    met = out.withColumn("_bx", bx(F.col("mx"))).withColumn("_by", by(F.col("my"))).join(spread, ["_bx", "_by"])
-    crosses = [_cross(m, n) for m, n in ("ab", "bc", "cd", "da")]
-    held = met.filter((F.least(*crosses) >= 0) | (F.greatest(*crosses) <= 0))
-    cell = F.struct("gy", "gx", "a", "b", "c", "d")
-    return held.groupBy("y", "x").agg(F.min(F.struct("gy", "gx", "mx", "my", cell.alias("cell"))).alias("_m")).select("y", "x", "_m.mx", "_m.my", "_m.cell.*")
+    gathered = spread.groupBy("_bx", "_by").agg(F.collect_list(F.struct("gy", "gx", "a", "b", "c", "d")).alias("_cells"))
+    met = out.withColumn("_bx", bx(F.col("mx"))).withColumn("_by", by(F.col("my"))).join(F.broadcast(gathered) if count <= MOST_CELLS else gathered, ["_bx", "_by"])
+
+    def holds(cell: Column) -> Column:
+        crosses = [_cross(cell, m, n) for m, n in ("ab", "bc", "cd", "da")]
+        return (F.least(*crosses) >= 0) | (F.greatest(*crosses) <= 0)
+
+    first = met.withColumn("_m", F.array_min(F.filter("_cells", holds))).filter("_m is not null")
+    return first.select("y", "x", "mx", "my", "_m.*")
 
 
 def tie_source(located: DataFrame) -> DataFrame:
@@ -240,7 +253,7 @@ def tie_source(located: DataFrame) -> DataFrame:
 
     def dist(m: str, n: str) -> Column:
         dx, dy = F.col(n)["x"] - F.col(m)["x"], F.col(n)["y"] - F.col(m)["y"]
-        return F.abs(_cross(m, n)) / F.sqrt(dx * dx + dy * dy)
+        return F.abs(_cross(None, m, n)) / F.sqrt(dx * dx + dy * dy)
 
     ab, bc, cd, da = (dist(m, n) for m, n in ("ab", "bc", "cd", "da"))
     return located.withColumns({"sy": (F.col("a")["py"] * cd + F.col("c")["py"] * ab) / (ab + cd), "sx": (F.col("b")["px"] * da + F.col("d")["px"] * bc) / (bc + da)})
