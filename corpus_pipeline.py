@@ -11,27 +11,42 @@ from rastrella.llm.common import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network does not call toxic; it learns from the given documents and the labels."""
+    """Documents that the network does not call toxic; it learns from the given documents and the labels.
+
+    Null, empty and very long texts are scored like any other; without labels of both kinds nothing is learned, and the
+    label's share is the score. Repeated rows are judged alike; an empty table gives none.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the smallest identifier; null texts count as empty.
+
+    Null identifiers lose against all others; of rows that repeat an identifier and its text exactly one stays.
+    """
     return exact_dedup.content_sort(docs).filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found by SimHash."""
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found by SimHash.
+
+    The one with the smallest identifier stays; rows with a null identifier stay too, as they cannot be told apart. Null
+    and empty texts and those of white space are alike.
+    """
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by source weight, repeated where the target needs more than an epoch."""
+    """Documents by source weight, repeated where the target needs more than an epoch.
+
+    A null source is a source; documents without words belong to every cut before which no words stand. Equal rows are
+    interchangeable, so reruns agree.
+    """
     return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of all that is left."""
+    """Length buckets and token-budget batches of all that is left; texts without words share the shortest bucket."""
     return packing.pack(docs)
 
 
