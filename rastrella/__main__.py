@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +32,7 @@ def main(args: list[str]) -> int:
     there = [p for p in paths if os.path.exists(p)]
     # the driver opens the command line's few files; execute.run takes any relation of paths and bytes
     files = spark.createDataFrame([(p, open(p, "rb").read()) for p in there], "path string, data binary")
-    failed = 0
+    failed, began = 0, time.perf_counter()
     for kind in chosen.whole_formats():
         kind = "PNM" if kind == "RAW" else kind
         if kind not in ("PNG", "PNM", "JPEG", "WEBP"):
@@ -39,7 +40,7 @@ def main(args: list[str]) -> int:
             failed = 2
             continue
         more = {"quality": chosen.quality} if kind == "JPEG" and chosen.quality else {}
-        images, manifest = execute.run(table, files, kind, chosen.folder, chosen.fill, **more)
+        images, manifest = execute.run(table, files, kind, chosen.folder, chosen.fill, chosen.memory_limit, **more)
         for row in images.join(manifest.select("req_id", "outfile"), "req_id").toLocalIterator():
             with open(row["outfile"], "wb") as out:
                 out.write(row["data"])
@@ -48,6 +49,7 @@ def main(args: list[str]) -> int:
             if row["entry"]:
                 print(row["entry"])
         failed = max(failed, execute.exit_code(manifest))
+        logging.debug("%s: %.1f s since the start", kind, time.perf_counter() - began)
     if chosen.zooms:
         logging.warning("tiles need a raster with coordinates; use operators.blocks.render_tiles")
     spark.stop()

@@ -165,6 +165,21 @@ def test_requests_end_to_end(spark):
     assert (pictures[0][..., :3] == want).all()
 
 
+def test_limits_and_boxes_of_requests(spark):
+    tags = [(33922, 12, [0.0, 0.0, 0.0, 5e5, 5.6e6, 0.0]), (33550, 12, [10.0, 10.0, 0.0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32633])]
+    files = [("g.tif", images.write_tiff(np.full((7, 9, 1), 40, np.uint8), extra=tags)), ("n.png", images.write_png(np.full((7, 9, 1), 40, np.uint8), predict=False))]
+    lines = spark.createDataFrame([(0, "g.tif"), (1, "n.png")], "req_id long, request string")
+    _, manifest = execute.run(lines, spark.createDataFrame(files, "path string, data binary"), "PNG", memory=7 * 9 * 4 * 20 / 4)
+    rows = {r["req_id"]: r for r in manifest.collect()}
+    assert (rows[0]["width"], rows[0]["height"]) == (5, 4) and rows[1]["bbox"] is None and "bbox" not in json.loads(rows[1]["entry"])
+    west, south, east, north = json.loads(json.loads(rows[0]["entry"])["bbox"])
+    lat, lon = geo.utm_inverse(5e5, 5.6e6, 33)
+    assert abs(north - lat) < 2e-6 and abs(west - lon) < 2e-6 and south < north and west < east
+    bands = spark.createDataFrame([(0, 0, y, x, x, 255) for y in range(3) for x in range(10)], "req_id long, band int, y int, x int, v int, a int")
+    got = sorted((r["y"], r["x"], r["v"]) for r in execute.shrunk(bands, 4).collect())
+    assert got == [(0, 0, 0), (0, 1, 3), (0, 2, 6), (0, 3, 9)]
+
+
 def test_options():
     o = options.parse(["-F", "0x10", "-p", "-J", "-W", "-z", "8,0x9", "-o", "out/", "-q", "82", "-s", "2", "-n", "-v", "-v", "-D", "1", "a.tif", "b.tif"])
     assert (o.fill, o.tile, o.whole, o.zooms, o.folder, o.quality, o.scale, o.warp, o.level, o.inputs) == (16, "PNG", ("JPEG", "WEBP"), (8, 9), "out/", 82, 2, False, 2, ("a.tif", "b.tif"))
