@@ -51,7 +51,14 @@ def main(args: list[str]) -> int:
         failed = max(failed, execute.exit_code(manifest))
         logging.debug("%s: %.1f s since the start", kind, time.perf_counter() - began)
     if chosen.zooms:
-        logging.warning("tiles need a raster with coordinates; use operators.blocks.render_tiles")
+        if chosen.tile not in (None, "PNG"):
+            logging.warning("tiles are written as PNG")
+        names = {r["req_id"]: r["name"] for r in execute.plan(table).toLocalIterator()}
+        for row in execute.map_tiles(table, files, chosen.zooms, fill=chosen.fill).toLocalIterator():
+            path = f"{chosen.folder}{names[row['req_id']]}/{row['path'].split('/', 1)[1]}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as out:
+                out.write(row["data"])
     spark.stop()
     return failed
 

@@ -458,6 +458,25 @@ def warp_utm(spark, sf_dir):
     return op.warp_utm(px, _UTM_BOX, _UTM_ZONE, width, height, *_UTM_OUT)
 
 
+def _warp_rgb_sql() -> str:
+    left, top, right, bottom = _UTM_BOX
+    geographic = ", g AS (SELECT y, x, degrees(2 * atan(exp(pi() * (1 - 2 * my))) - pi() / 2) AS lat, 360 * mx - 180 AS lon FROM o)"
+    source = f", w AS (SELECT y, x, (e - {left}) / {right - left} AS fu, (n - {top}) / {bottom - top} AS fv, (e - {left}) / {right - left} * pw AS sx, (n - {top}) / {bottom - top} * ph AS sy FROM u, (SELECT max(x) + 1 AS pw, max(y) + 1 AS ph FROM rgb))"
+    ok = "fu BETWEEN 0 AND 1 AND fv BETWEEN 0 AND 1 AND floor(a + 1e-7) = 255"
+    src = ", src AS (SELECT y, x, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(a AS DOUBLE) AS a FROM rgb)"
+    colours = ", ".join(f"CASE WHEN {ok} THEN {_trunc(c)} ELSE 7 END AS {c}" for c in "rgb")
+    return duck("rgb")[:-1] + src + _grid_sql(geo.mercator_bounds_of_utm(*_UTM_BOX, _UTM_ZONE), *_UTM_OUT) + geographic + _utm_sql("lat", "lon", _UTM_ZONE, "g", "y, x") + source + _sampled_at("w", "src", "rgba") + f"SELECT CAST(1 AS BIGINT) AS raster_id, y, x, {colours}, CASE WHEN {ok} THEN 255 ELSE 0 END AS a FROM got"
+
+
+@query(_warp_rgb_sql())
+def warp_utm_rgb(spark, sf_dir):
+    """Three channels, reprojected by a row of metadata."""
+    px = raster(spark, sf_dir, "rgb").withColumn("raster_id", F.lit(1).cast("long"))
+    meta = px.groupBy("raster_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    placed = meta.withColumns({n: F.lit(v) for n, v in zip(("xleft", "ytop", "xright", "ybottom", "epsg", "out_w", "out_h"), (*_UTM_BOX, 32600 + _UTM_ZONE, *_UTM_OUT))})
+    return op.warp_utm_each(px, placed, ["r", "g", "b"], ["raster_id"], fill=7)
+
+
 #: Mercator box around the ground-control points, of which the fixture's formula gives the corners.
 _TIE_BOX = (*geo.mercator_point(50.12, 10.0), *geo.mercator_point(48.4, 12.08))
 _TIE_SIDE = 100

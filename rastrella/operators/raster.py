@@ -90,11 +90,12 @@ def resample_to(px: DataFrame, value: str, width: int, height: int, keys: Sequen
     return both.select(*keys, "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), sample)).alias("x", value))
 
 
-def sample_at(points: DataFrame, px: DataFrame, values: Sequence[str], width: int, height: int, keys: Sequence[str] = (), sx: str = "sx", sy: str = "sy") -> DataFrame:
+def sample_at(points: DataFrame, px: DataFrame, values: Sequence[str], width: int | Column, height: int | Column, keys: Sequence[str] = (), sx: str = "sx", sy: str = "sy") -> DataFrame:
     """Bilinear samples at ``(sx, sy)`` of each point: one join on the pixel that holds the point's neighbours."""
     quads = with_neighbours(px, values, keys).select(*keys, F.col("y").alias("_y0"), F.col("x").alias("_x0"), *values)
-    x0 = F.greatest(F.lit(0), F.least(F.floor(sx).cast("int"), F.lit(width - 1)))
-    y0 = F.greatest(F.lit(0), F.least(F.floor(sy).cast("int"), F.lit(height - 1)))
+    last = lambda n: (n - 1).cast("int") if isinstance(n, Column) else F.lit(n - 1)
+    x0 = F.greatest(F.lit(0), F.least(F.floor(sx).cast("int"), last(width)))
+    y0 = F.greatest(F.lit(0), F.least(F.floor(sy).cast("int"), last(height)))
     joined = points.withColumn("_x0", x0).withColumn("_y0", y0).join(quads, [*keys, "_y0", "_x0"])
     dx, dy = F.col(sx) - F.col("_x0"), F.col(sy) - F.col("_y0")
     return joined.withColumns({v: lerp(F.col(v), dx, dy) for v in values}).drop("_x0", "_y0")
@@ -196,6 +197,28 @@ def warp_utm(px: DataFrame, bounds: tuple, zone: int, width: int, height: int, o
     return got.select("y", "x", F.when(inside, trunc(F.col("v"))).otherwise(fill).alias("v"), F.when(inside, 255).otherwise(0).alias("a"))
 
 
+def warp_utm_each(px: DataFrame, meta: DataFrame, channels: Sequence[str], keys: Sequence[str], fill: int = 0) -> DataFrame:
+    """Reproject UTM rasters ``px (keys, y, x, channels, a)`` to Web Mercator, each by its own row of ``meta``.
+
+    ``meta (keys, epsg, xleft, ytop, xright, ybottom, width, height, out_w, out_h)`` has native bounds, source and output
+    sizes. The output covers the Mercator box around the projected corners. Gives ``(keys, y, x, channels, a)``; what falls
+    outside or on a sample that is not opaque is transparent and takes the fill colour.
+    """
+    keys = list(keys)
+    zone, south = geo.zone_of(F.col("epsg"))
+    corners = [geo.mercator(*geo.geographic_of_utm(F.col(x), F.col(y), zone, south)) for x in ("xleft", "xright") for y in ("ytop", "ybottom")]
+    boxed = meta.withColumns({"_l": F.least(*(c[0] for c in corners)), "_t": F.least(*(c[1] for c in corners)), "_r": F.greatest(*(c[0] for c in corners)), "_b": F.greatest(*(c[1] for c in corners))})
+    out = boxed.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("out_h") - 1).cast("int")))).withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("out_w") - 1).cast("int"))))
+    mx = F.col("_l") + (F.col("_r") - F.col("_l")) * ((F.col("x") + 0.5) / F.col("out_w"))
+    my = F.col("_t") + (F.col("_b") - F.col("_t")) * ((F.col("y") + 0.5) / F.col("out_h"))
+    east, north = geo.utm(*geo.geographic(mx, my), zone, south)
+    out = out.withColumns({"_u": (east - F.col("xleft")) / (F.col("xright") - F.col("xleft")), "_v": (north - F.col("ytop")) / (F.col("ybottom") - F.col("ytop"))})
+    out = out.withColumns({"sx": F.col("_u") * F.col("width"), "sy": F.col("_v") * F.col("height")})
+    got = sample_at(out, px.select(*keys, F.col("y"), F.col("x"), *channels, "a"), [*channels, "a"], F.col("width"), F.col("height"), keys)
+    inside = F.col("_u").between(0, 1) & F.col("_v").between(0, 1) & (trunc(F.col("a")) == 255)
+    return got.select(*keys, "y", "x", *(F.when(inside, trunc(F.col(c))).otherwise(fill).alias(c) for c in channels), F.when(inside, 255).otherwise(0).alias("a"))
+
+
 def points_of_tag(files: DataFrame, tag: str = "tag") -> DataFrame:
     """Ground-control points ``(raster_id, i, px, py, lon, lat, grid_width)`` of model tie points in groups of six."""
     six = F.transform(F.sequence(F.lit(0), (F.size(tag) / 6).cast("int") - 1), lambda i: F.struct(F.get(tag, i * 6).alias("px"), F.get(tag, i * 6 + 1).alias("py"), F.get(tag, i * 6 + 3).alias("lon"), F.get(tag, i * 6 + 4).alias("lat")))

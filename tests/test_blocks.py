@@ -180,6 +180,27 @@ def test_limits_and_boxes_of_requests(spark):
     assert got == [(0, 0, 0), (0, 1, 3), (0, 2, 6), (0, 3, 9)]
 
 
+def test_map_tiles_of_requests(spark):
+    """From files with coordinates to tiles: the tiles hold the picture, at the place that its corners have."""
+    tags = lambda x, y: [(33922, 12, [0.0, 0.0, 0.0, x, y, 0.0]), (33550, 12, [10.0, 10.0, 0.0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32633])]
+    img = np.full((40, 60, 1), 200, np.uint8)
+    files = [("a.tif", images.write_tiff(img, extra=tags(5e5, 5.6e6))), ("b.tif", images.write_tiff(img, extra=tags(6e5, 5.5e6))), ("plain.png", images.write_png(img))]
+    lines = spark.createDataFrame([(0, "a.tif"), (1, "b.tif"), (2, "plain.png"), (3, "lost.tif")], "req_id long, request string")
+    rows = execute.map_tiles(lines, spark.createDataFrame(files, "path string, data binary"), (12, 14)).collect()
+    assert {(r["req_id"], r["z"]) for r in rows} == {(0, 12), (0, 14), (1, 12), (1, 14)}
+    for i, (x, y) in enumerate(((5e5, 5.6e6), (6e5, 5.5e6))):
+        left, top, right, bottom = geo.mercator_bounds_of_utm(x, y, x + 600, y - 400, 33)
+        for z in (12, 14):
+            n, found = 2.0**z, [r for r in rows if r["req_id"] == i and r["z"] == z]
+            assert {(r["tx"], r["ty"]) for r in found} <= {(a, b) for a in range(int(left * n), int(right * n) + 1) for b in range(int(top * n), int(bottom * n) + 1)}
+            area = (right - left) * (bottom - top) * n * n * 65_536
+            opaque = sum(r["opaque"] for r in found)
+            assert 0.75 * area <= opaque <= 1.02 * area
+            for r in found:
+                tile = images.read_png(bytes(r["data"]))
+                assert (tile[tile[..., 3] == 255][:, :3] == 200).all() and (tile[tile[..., 3] == 0][:, :3] == 0).all()
+
+
 def test_options():
     o = options.parse(["-F", "0x10", "-p", "-J", "-W", "-z", "8,0x9", "-o", "out/", "-q", "82", "-s", "2", "-n", "-v", "-v", "-D", "1", "a.tif", "b.tif"])
     assert (o.fill, o.tile, o.whole, o.zooms, o.folder, o.quality, o.scale, o.warp, o.level, o.inputs) == (16, "PNG", ("JPEG", "WEBP"), (8, 9), "out/", 82, 2, False, 2, ("a.tif", "b.tif"))
