@@ -161,6 +161,18 @@ def hot_links(hot: DataFrame) -> DataFrame:
     return around.join(centres, "at").filter("u <> v").select("u", "v").distinct()
 
 
+def component_names(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(node, component_id)`` of ``nodes (node, least)``: the smallest ``least`` of the node's component.
+
+    Only nodes with links, which have a row in ``roots (node, root)``, are grouped; the components' names are broadcast if
+    a count shows that they are few.
+    """
+    roots = cut(roots)
+    found = cut(nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id")))
+    named = nodes.join(roots, "node", "left").join(F.broadcast(found) if found.count() <= 1_000_000 else found, "root", "left")
+    return named.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """``doc_id``, ``fp`` (signed long) and ``component_id`` of every row.
 
@@ -181,11 +193,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
     cold = met.filter(F.col("n") <= hot_bucket).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     edges = cold.mapInArrow(_link_sorted, "u long, v long")
     edges = edges.unionByName(hot_links(met.filter(F.col("n") > hot_bucket).select("fp").distinct()))
-    roots = components(edges)
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = component_names(nodes.select(F.col("fp").alias("node"), "least"), components(edges))
+    return prints.join(named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 # near copies by similarity: wide fingerprints, a sample of the shingles to meet on, and an exact check
@@ -461,9 +470,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.min("doc_id").alias("doc_id"))
     nodes = cut(nodes)
     roots = components(similar_links(docs, nodes, words, similarity, text, doc_id, hot_bucket))
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return made.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = component_names(nodes.select("node", F.col("doc_id").alias("least")), roots)
+    return made.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
