@@ -170,7 +170,8 @@ def component_names(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     roots = cut(roots)
     found = cut(nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id")))
     named = nodes.join(roots, "node", "left").join(F.broadcast(found) if found.count() <= 1_000_000 else found, "root", "left")
-    return named.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    # cut, so that a join of all rows with it is dealt anew on both sides, and Spark can split a node with many copies
+    return cut(named.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", hot_bucket: int = HOT_BUCKET) -> DataFrame:
