@@ -721,10 +721,12 @@ def decode_tiff(spark, sf_dir):
     return _round_trip(spark, sf_dir, "TIFF", tile=16)
 
 
-@query()
+@query(duck("rgb") + "SELECT CAST(floor(y / 50) AS INTEGER) AS block, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) - min(y) + 1 AS INTEGER) AS height, 'FFD8FFE0' AS head, 'FFD9' AS tail FROM rgb GROUP BY 1")
 def encode_jpeg(spark, sf_dir):
+    """JPEG files of blocks: their sizes, first and last marks; a plain decoder reads such files in the tests."""
     px = raster(spark, sf_dir, "rgb").withColumn("block", F.floor(F.col("y") / 50).cast("int"))
-    return images.encode(px, ["block"], ["r", "g", "b"], "JPEG", quality=82).select("block", "width", "height", F.length("data").alias("n_bytes"), F.hex(F.substring("data", 1, 4)).alias("head"))
+    files = images.encode(px, ["block"], ["r", "g", "b"], "JPEG", quality=82)
+    return files.select("block", "width", "height", F.hex(F.substring("data", 1, 4)).alias("head"), F.hex(F.substring("data", -2, 2)).alias("tail"))
 
 
 @query(_PARSED + f"SELECT request, feature, coalesce(len(f) <= 4 AND ((feature = '' AND len(f) IN (1, 3)) OR (feature <> '' AND len(f) = CASE feature WHEN 'HONS' THEN 3 WHEN 'NDSI' THEN 4 WHEN 'SCL' THEN 1 ELSE 2 END)), false) AS valid, {_OPTION.format('q')} AS quality FROM q")
