@@ -134,6 +134,26 @@ def test_kneser_ney_matches_dictionaries(spark):
     assert len(model["pairs"]) > 20 and all((np.diff(model[k].astype(np.float64)) > 0).all() for k in ("words", "frequent", "pairs"))
 
 
+def test_pairs_of_rare_words_count_in_every_part(spark, monkeypatch):
+    """Pairs of words far below a 2,048th of their language are entries, and texts, blocks and parts in any cut give the same."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(600):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 90)]
+        for k in range(3):
+            words[10 + 20 * k : 12 + 20 * k] = [f"left{(i + 13 * k) % 80}", f"right{(i + 13 * k) % 80}"]
+        texts.append(" ".join(words + ["the", f"v{i % 7}"] * 4))
+    frame = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    pairs = perplexity.build_model(frame.select("lang", "text"))["x"]["pairs"]
+    assert len(pairs) > 60
+    want = slow_log_ppl(texts)
+    monkeypatch.setattr(perplexity, "BLOCK", 20_000)
+    monkeypatch.setattr(perplexity, "PART", 50_000)
+    got = {r["doc_id"]: r["log_ppl"] for r in perplexity.quality(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+    assert (perplexity.build_model(frame.select("lang", "text"))["x"]["pairs"] == pairs).all()
+
+
 def test_near_copies_share_a_half():
     rng = np.random.default_rng(1)
     texts = []
