@@ -11,13 +11,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, table
+from .common import cut, forget, table
+from .parts import Unpacked, in_blocks, pack_blocks, pack_numbers, part_of, unpack_rows
 
 #: A substring of so many tokens that two pages of a host share is boilerplate.
 LONG = 6
-#: Tokens after which a block of streams is closed.
-STREAM = 1 << 20
+#: A block of prose is a notice, not main text, if all of it lies in substrings that more than half of the other rows of the
+#: host have, of so many other rows at least.
+OTHERS = 7
+#: Bytes of pages in a block of streams, and bytes of all pages to a part of the table of heads.
+STREAM, PART = 1 << 23, 1 << 24
 
 # Element names and the words in class, id and role attributes that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -163,8 +168,8 @@ def split_page(page: str, trust_markup: bool = True) -> tuple[list[tuple[str, in
     """``(text, open)`` of the blocks that may be main text, and the texts that are only seen as evidence of repeats.
 
     The scope is the articles if there are any, else the main element, else a named content container, else the body.
-    Prose in a container is main text (0); other blocks in scope are open (1). Blocks that markup drops, and those out of
-    scope, are evidence. Without ``trust_markup`` every block is open.
+    Prose in a container is declared to be main text (0); other blocks in scope are open (1). Blocks that markup drops, and
+    those out of scope, are evidence. The repeats decide about all of them. Without ``trust_markup`` every block is open.
     """
     blocks = blocks_of(page)
     if not trust_markup:
@@ -175,8 +180,10 @@ def split_page(page: str, trust_markup: bool = True) -> tuple[list[tuple[str, in
 
 
 def stream_of(inside: list[tuple[str, int]], evidence: list[str]) -> np.ndarray:
-    """Hashes of a page's tokens: those of its open blocks in page order, and then those of its evidence."""
-    tokens = [w for text, free in inside if free for w in text.split()] + [w for text in evidence for w in text.split()]
+    """Hashes of all tokens of a page: those of its open blocks in page order, of its evidence, and of its prose."""
+    tokens = [w for text, free in inside if free for w in text.split()]
+    tokens += [w for text in evidence for w in text.split()]
+    tokens += [w for text, free in inside if not free for w in text.split()]
     return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in tokens], np.uint64)
 
 
@@ -192,6 +199,13 @@ def head_names(tokens: np.ndarray, host: np.ndarray | np.uint64) -> tuple[np.nda
     return names[0], names[1]
 
 
+def labels(values: np.ndarray, kind: int) -> np.ndarray:
+    """First names of hosts (0) and pages (1), apart from those of heads."""
+    odd = np.uint64(0x9E3779B97F4A7C15 if kind else 0xC2B2AE3D27D4EB4F)
+    values = (values ^ (values >> np.uint64(31)) ^ odd) * np.uint64(0xD6E8FEB86659FD93)
+    return (values ^ (values >> np.uint64(29))) * odd
+
+
 def suffix_array(tokens: np.ndarray, host: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the concatenated streams in the order of their suffixes, and where suffixes with a new head begin.
 
@@ -200,7 +214,8 @@ def suffix_array(tokens: np.ndarray, host: np.ndarray, page: np.ndarray) -> tupl
     compared by its rank; longer repeats are chains of such places.
     """
     n = len(tokens)
-    rank = np.unique(np.stack([host, tokens], axis=1), axis=0, return_inverse=True)[1].ravel() if n else np.zeros(0, np.int64)
+    token, of_host = (np.unique(x, return_inverse=True)[1].ravel() for x in (tokens, host))
+    rank = np.unique(of_host * max(1, n) + token, return_inverse=True)[1].ravel()
     ranks = {1: rank}
 
     def join(a: int, b: int) -> None:
@@ -221,126 +236,152 @@ def suffix_array(tokens: np.ndarray, host: np.ndarray, page: np.ndarray) -> tupl
     return order, np.flatnonzero(np.concatenate([[True], sorted_ranks[1:] != sorted_ranks[:-1]])) if len(order) else np.zeros(0, np.int64)
 
 
-def unique_runs(inside: list[tuple[str, int]], covered: np.ndarray) -> str:
-    """Text of the blocks without the covered tokens of the open ones; the whole text if nothing would be left."""
-    kept, at = [], 0
+def unique_runs(inside: list[tuple[str, int]], n_evidence: int, repeated: np.ndarray, common: np.ndarray) -> tuple[str, int, int, int, int]:
+    """Text of the blocks without what repeats, and numbers of tokens: open, cut from open blocks, of prose repeated and cut.
+
+    Of open blocks the ``repeated`` tokens go, of prose the blocks all of whose tokens are ``common``. If nothing would be
+    left, the whole text stays.
+    """
+    n_open = sum(len(text.split()) for text, free in inside if free)
+    kept, at, prose, notices = [], 0, n_open + n_evidence, 0
     for text, free in inside:
+        words = text.split()
         if free:
-            words = text.split()
-            kept.append(" ".join(w for w, c in zip(words, covered[at : at + len(words)]) if not c))
+            kept.append(" ".join(w for w, c in zip(words, repeated[at : at + len(words)]) if not c))
             at += len(words)
         else:
-            kept.append(text)
-    return " ".join(t for t in kept if t) or " ".join(text for text, _ in inside)
+            notice = bool(common[prose : prose + len(words)].all())
+            notices += notice * len(words)
+            kept.append("" if notice else text)
+            prose += len(words)
+    text = " ".join(t for t in kept if t) or " ".join(text for text, _ in inside)
+    return text, n_open, int(repeated[:n_open].sum()), int(repeated[n_open + n_evidence :].sum()), notices
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", trust_markup: bool = True) -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_chars``, ``n_open`` and ``n_cut`` for every row of ``pages``.
+def spans(begins: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in one of the substrings of ``LONG`` tokens that begin at the given places."""
+    change = np.zeros(n + LONG + 1, np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, begins + LONG, -1)
+    return np.cumsum(change)[:n] > 0
 
-    Elements that hold no main text by their name, role, class or id are dropped; prose in the main container is kept,
-    also where other pages repeat it. What markup leaves open is decided over all pages of the host: the streams of their
-    tokens, dropped blocks included, are concatenated, and suffix arrays find what ``LONG`` or more tokens in a row two
-    different pages share. Such tokens are cut from open blocks and the unique runs stay, except in a page of which
-    nothing would be left (a copy under another address), which keeps its scope. ``n_open`` counts a page's open tokens,
-    ``n_cut`` those that repeats cover. Without ``trust_markup`` every block of a page is open.
 
-    A suffix array is built for each block of streams, which holds pages of any host, so that a large host is spread like
-    any other. A block gives one row for each different head, and gets back those that other pages have too: a line that
-    all pages share is a row a block. Each page is parsed once.
-
-    Null html counts as empty; a page without main text has the empty text. Rows that repeat a page's url and html count
-    as one page. A null url is a host of its own. An empty table gives no rows; extra columns are ignored.
+def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", trust_markup: bool = True) -> DataFrame:
+    """``page_id``, ``url``, ``text``, ``n_chars``, ``n_open``, ``n_cut``, ``n_repeat`` and ``n_notice`` for every row of ``pages``.
+
+    The tokens of all blocks of all pages go through suffix arrays, prose included: these find what ``LONG`` or more tokens
+    in a row other pages of the host share, and how many rows of the host have it. Markup says what a repeat means.
+    In blocks that it leaves open, repeated tokens are cut and the unique runs stay. Prose in the main container is cut
+    where a whole block is a notice that most pages of the host carry (``OTHERS``); prose that only some pages repeat is a
+    reprint and stays main text. Elements that hold no main text by their name, role, class or id are evidence only. A page
+    of which nothing would be left (a copy under another address) keeps its scope. ``n_open`` counts a page's open tokens
+    and ``n_cut`` those cut, ``n_repeat`` the tokens of prose that others repeat and ``n_notice`` those cut. Without
+    ``trust_markup`` every block of a page is open.
+
+    A suffix array is built for each block of pages of any host, so that a large host is spread like any other. A block
+    sends each different head once to the part of a table that sums the rows up, and gets back those in several rows.
+
+    Null html counts as empty; a page without main text has the empty text. Rows that repeat a page's url and html are no
+    repeats of each other. A null url is a host of its own. An empty table gives no rows; extra columns are ignored.
     """
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    rows = rows.select("page_id", "url", F.xxhash64("url", "html").alias("key"), "html", F.spark_partition_id().alias("part"))
+    rows = rows.select("page_id", "url", "html", F.xxhash64("url", "html").alias("key"), F.octet_length("html").alias("size"), F.spark_partition_id().alias("part"))
     id_type = rows.schema["page_id"].dataType.simpleString()
-    ids_type = pa.struct([("text", pa.string()), ("open", pa.int32())])
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each page's text if markup decides alone, else its blocks; its stream, and the block of streams that it is in."""
-        chunk, held = 0, 0
-        for batch in batches:
-            block, hosts, streams, texts, pieces, free = [], [], [], [], [], []
-            part = batch.column(4)[0].as_py() if batch.num_rows else 0
-            for address, page in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+
+    def host_hash(address: str | None) -> int:
+        return xxhash.xxh64_intdigest(host_of(address).encode("utf-8", "surrogatepass"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different heads of each block's suffix array, its hosts and its pages, for the parts of the table, with the rows of each."""
+        for block, sign, own in in_blocks(batches, STREAM):
+            streams = [stream_of(*split_page(page, trust_markup)) for page in own["html"].to_pylist()]
+            size = np.array([len(x) for x in streams])
+            tokens, page = np.concatenate(streams), np.repeat(np.arange(len(size)), size)
+            hosts = np.array([host_hash(u) for u in own["url"].to_pylist()], np.uint64)
+            host = np.repeat(hosts, size)
+            order, begins = suffix_array(tokens, host, page)
+            first, second = (x[order[begins]].view(np.uint64) for x in head_names(tokens, host))
+            new = np.concatenate([[True], page[order][1:] != page[order][:-1]])
+            new = new[: len(order)]
+            new[begins] = True
+            n = np.add.reduceat(new.astype(np.int64), begins) if len(order) else np.zeros(0, np.int64)
+            for odd, values in enumerate((hosts, own["key"].to_numpy().view(np.uint64))):
+                values, rows_of = np.unique(values, return_counts=True)
+                label = labels(values, odd)
+                first, second, n = (np.concatenate(x) for x in ((first, label), (second, values), (n, rows_of)))
+            by_name = np.argsort(first)
+            first, second, n = first[by_name], second[by_name] & np.uint64(255), n[by_name]
+            bounds = np.searchsorted(part_of(first, parts), np.arange(parts + 1))
+            out = [(p, block, sign, pack_numbers((np.diff(first[a:b], prepend=np.uint64(0)), 8), (second[a:b], 1), (n[a:b], 4)), b - a) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+            for lo in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[lo : lo + 256]), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["part", "block", "sign", "blob", "n"])
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        """To each block, those of its heads that several rows have, with the number of rows."""
+        names, ends = [], [0]
+        for blob, n in zip(table["blob"].to_pylist(), table["n"].to_pylist()):
+            source = Unpacked(blob)
+            names.append((np.cumsum(source.take(n, 8), dtype=np.uint64), source.take(n, 1), source.take(n, 4)))
+            ends.append(ends[-1] + n)
+        a, b, n = (np.concatenate(x) for x in zip(*names))
+        order = np.lexsort((b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        total = np.empty(len(order), np.uint64)
+        total[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        blobs, sizes = [], []
+        for lo, hi in zip(ends, ends[1:]):
+            at = lo + np.flatnonzero(total[lo:hi] > 1)
+            blobs.append(pack_numbers((np.diff(a[at], prepend=np.uint64(0)), 8), (b[at], 1), (total[at], 6)))
+            sizes.append(len(at))
+        return pa.table([table["block"], table["sign"], pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64())], names=["block", "sign", "blob", "n"])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if len(left) != 1 or set(right["sign"].to_pylist()) != set(left["sign"].to_pylist()):
+            raise ValueError("a block of pages was not read alike twice: checkpoint the pages first")
+        known = [(np.zeros(0, np.uint64),) * 3]
+        for blob, n in zip(right["blob"].to_pylist(), right["n"].to_pylist()):
+            source = Unpacked(blob)
+            known.append((np.cumsum(source.take(n, 8), dtype=np.uint64), source.take(n, 1), source.take(n, 6)))
+        a, b, rows_of = (np.concatenate(x) for x in zip(*known))
+        order = np.lexsort((b, a))
+        a, b, rows_of = a[order], b[order], rows_of[order].astype(np.int64)
+
+        def rows_with(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+            """Number of rows of each name, 1 of those that were not answered."""
+            place, n = np.searchsorted(a, first), np.ones(len(first), np.int64)
+            while len(a):  # names that differ only in the second hash stand behind each other
+                here = np.minimum(place, len(a) - 1)
+                same = (place < len(a)) & (a[here] == first)
+                hit = same & (b[here] == second & np.uint64(255))
+                n[hit] = rows_of[here[hit]]
+                if not (same & ~hit).any():
+                    break
+                place = np.where(same & ~hit, place + 1, len(a))
+            return n
+
+        out = []
+        for value in left["rows"].to_pylist():
+            own = unpack_rows(value)
+            hosts, keys = np.array([host_hash(u) for u in own["url"].to_pylist()], np.uint64), own["key"].to_numpy().view(np.uint64)
+            of_host, of_page = rows_with(labels(hosts, 0), hosts), rows_with(labels(keys, 1), keys)
+            for id_, address, page, host, others, alike in zip(own["page_id"].to_pylist(), own["url"].to_pylist(), own["html"].to_pylist(), hosts, (of_host - of_page).tolist(), of_page.tolist()):
                 inside, evidence = split_page(page, trust_markup)
-                streams.append(stream_of(inside, evidence).view(np.int64))
-                held += len(streams[-1])
-                chunk, held = (chunk + 1, 0) if held > STREAM else (chunk, held)
-                is_open = any(f for _, f in inside)
-                block.append(part << 32 | chunk)
-                hosts.append(xxhash.xxh64_intdigest(host_of(address).encode("utf-8", "surrogatepass")))
-                texts.append(None if is_open else " ".join(t for t, _ in inside))
-                pieces.append([{"text": t, "open": f} for t, f in inside] if is_open else None)
-                free.append(sum(len(t.split()) for t, f in inside if f))
-            ends = np.cumsum([0, *map(len, streams)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *streams])))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(block, pa.int64()), pa.array(np.array(hosts, np.uint64).view(np.int64)), lists, pa.array(texts, pa.string()), pa.array(pieces, pa.list_(ids_type)), pa.array(free, pa.int64())],
-                names=["page_id", "url", "key", "block", "host", "stream", "text", "pieces", "n_open"],
-            )
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different heads of each block's suffix array, with the least and the greatest page of each."""
-        held: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            for whole in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
-                lists = whole.column(3)
-                size = np.diff(lists.offsets.to_numpy())
-                tokens = lists.flatten().to_numpy().view(np.uint64)
-                spread = lambda i: np.repeat(whole.column(i).to_numpy(zero_copy_only=False), size)
-                key, host, free = spread(1), spread(2).view(np.uint64), spread(4)
-                order, begins = suffix_array(tokens, host, np.repeat(np.arange(len(size)), size))
-                if len(order):
-                    first, second = head_names(tokens, host)
-                    low, high = np.minimum.reduceat(key[order], begins), np.maximum.reduceat(key[order], begins)
-                    at = order[begins]
-                    wanted = np.maximum.reduceat(free[order], begins) > 0
-                    block = np.full(len(at), whole.column(0)[0].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, first[at], second[at], low, high, wanted)], names=["block", "a", "b", "low", "high", "wanted"])
-
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if held and held[-1].column(0)[0].as_py() != block[lo]:
-                    yield from done()
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        yield from done()
-
-    def uncover(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (right[c].to_numpy() for c in ("a", "b"))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        texts, cuts = [], []
-        for host, stream, pieces in zip(left["host"].to_pylist(), left["stream"], left["pieces"].to_pylist()):
-            tokens = stream.values.to_numpy().view(np.uint64)
-            covered = np.zeros(len(tokens) + 1, np.int64)
-            first, second = head_names(tokens, np.array([host], np.int64).view(np.uint64)[0])
-            if len(a) and len(first):
-                place = np.minimum(np.searchsorted(a, first), len(a) - 1)
-                at = np.flatnonzero((a[place] == first) & (b[place] == second))
-                np.add.at(covered, at, 1)
-                np.add.at(covered, at + LONG, -1)
-            inside = [(p["text"], p["open"]) for p in pieces]
-            shut = np.cumsum(covered)[:-1] > 0
-            texts.append(unique_runs(inside, shut))
-            cuts.append(int(shut[: sum(len(t.split()) for t, f in inside if f)].sum()))
-        return pa.table([left["page_id"], left["url"], pa.array(texts, pa.string()), left["n_open"], pa.array(cuts, pa.int64())], names=["page_id", "url", "text", "n_open", "n_cut"])
-
-    shown = f"page_id {id_type}, url string, text string, n_open long, n_cut long"
-    parsed = cut(rows.mapInArrow(parse, f"page_id {id_type}, url string, key long, block long, host long, stream array<long>, text string, pieces array<struct<text: string, open: int>>, n_open long"))
-    arrays = cut(parsed.select("block", "key", "host", "stream", "n_open").mapInArrow(heads, "block long, a long, b long, low long, high long, wanted boolean"))
-    shared = arrays.groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("wanted").alias("wanted")).filter("low <> high and wanted").select("a", "b")
-    replies = arrays.filter("wanted").join(shared, ["a", "b"]).select("block", "a", "b")
-    left = parsed.filter("pieces is not null").select("block", "page_id", "url", "host", "stream", "pieces", "n_open")
-    rest = left.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(uncover, shown)
-    done = parsed.filter("pieces is null").select("page_id", "url", "text", "n_open", F.lit(0).cast("long").alias("n_cut"))
-    return done.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_open", "n_cut")
+                tokens = stream_of(inside, evidence)
+                n = rows_with(*(x.view(np.uint64) for x in head_names(tokens, host)))
+                repeated = spans(np.flatnonzero(n > alike), len(tokens))
+                common = spans(np.flatnonzero((2 * (n - alike) > others) & (others >= OTHERS)), len(tokens))
+                out.append((id_, address, *unique_runs(inside, sum(len(t.split()) for t in evidence), repeated, common)))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (kind, pa.string(), pa.string(), *[pa.int64()] * 4))], names=["page_id", "url", "text", *counted])
+
+    counted = ["n_open", "n_cut", "n_repeat", "n_notice"]
+    kind = to_arrow_type(rows.schema["page_id"].dataType)
+    parts = 1 + (rows.agg(F.sum("size")).first()[0] or 0) // PART
+    # all columns each time: what lies below may deal rows out by them
+    answered = cut(rows.mapInArrow(ask, "part long, block long, sign long, blob binary, n long").groupBy("part").applyInArrow(answer, "block long, sign long, blob binary, n long"))
+    forget(pages.sparkSession)  # the heads are not read again
+    shown = f"page_id {id_type}, url string, text string, {', '.join(f'{c} long' for c in counted)}"
+    done = pack_blocks(rows, STREAM).groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, shown)
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), *counted)
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:

@@ -471,6 +471,19 @@ def test_repeats_alone_find_the_boilerplate_of_marked_pages(spark):
     assert by_repeats == by_markup
 
 
+def test_repeats_decide_about_prose_of_articles(spark):
+    """A notice that most pages of a host have goes, also as a paragraph of the article; a reprint in some pages stays."""
+    notice, reprint = "this text may be copied under the terms of the licence", "a long sentence that two of the pages have in common"
+    rows = [(i, f"http://h/{i}", f"<article><p>page {i} says m{i} n{i}</p><p>{reprint if i < 2 else f'own {i}'}</p><p>{notice}</p></article>") for i in range(9)]
+    rows += [(100 + i, f"http://small/{i}", f"<article><p>page {i} only{i}</p><p>{notice}</p></article>") for i in range(3)]
+    rows += [rows[0], rows[0]]
+    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for i in range(9):
+        assert got[i]["text"] == f"page {i} says m{i} n{i} {reprint if i < 2 else f'own {i}'}"
+        assert (got[i]["n_repeat"], got[i]["n_notice"], got[i]["n_open"]) == (11 + 11 if i < 2 else 11, 11, 0)
+    assert all(got[100 + i]["text"] == f"page {i} only{i} {notice}" and got[100 + i]["n_repeat"] == 11 for i in range(3))
+
+
 @pytest.mark.parametrize("stream", [html_text.STREAM, 50])
 def test_repeats_across_pages_are_removed(spark, monkeypatch, stream):
     monkeypatch.setattr(html_text, "STREAM", stream)
