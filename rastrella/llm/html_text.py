@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, table
-from .parts import Unpacked, in_blocks, pack_blocks, pack_numbers, part_of, unpack_rows
+from .common import table
+from .parts import Unpacked, pack_blocks, pack_numbers, part_of, unpack_rows
 
 #: A substring of so many tokens that two pages of a host share is boilerplate.
 LONG = 6
@@ -179,12 +179,17 @@ def split_page(page: str, trust_markup: bool = True) -> tuple[list[tuple[str, in
     return inside, [b.text for b in blocks if b.dropped or b.scope < scope]
 
 
-def stream_of(inside: list[tuple[str, int]], evidence: list[str]) -> np.ndarray:
-    """Hashes of all tokens of a page: those of its open blocks in page order, of its evidence, and of its prose."""
-    tokens = [w for text, free in inside if free for w in text.split()]
-    tokens += [w for text in evidence for w in text.split()]
-    tokens += [w for text, free in inside if not free for w in text.split()]
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in tokens], np.uint64)
+def streams_of(pages: list[tuple[list[tuple[str, int]], list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the pages, and how many each has: those of its open blocks in page order, of its evidence, and of its prose."""
+    words: list[str] = []
+    ends = [0]
+    for inside, evidence in pages:
+        for text in (*(t for t, free in inside if free), *evidence, *(t for t, free in inside if not free)):
+            words += text.split()
+        ends.append(len(words))
+    kinds = pa.array(words, pa.large_string()).dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in kinds.dictionary.to_pylist()], np.uint64)
+    return hashes[kinds.indices.to_numpy()], np.diff(ends)
 
 
 def head_names(tokens: np.ndarray, host: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +211,11 @@ def labels(values: np.ndarray, kind: int) -> np.ndarray:
     return (values ^ (values >> np.uint64(29))) * odd
 
 
+def whole_heads(page: np.ndarray) -> np.ndarray:
+    """Places from which ``LONG`` tokens of one page follow."""
+    return np.flatnonzero(page[: max(0, len(page) - LONG + 1)] == page[LONG - 1 :]) if len(page) >= LONG else np.zeros(0, np.int64)
+
+
 def suffix_array(tokens: np.ndarray, host: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the concatenated streams in the order of their suffixes, and where suffixes with a new head begin.
 
@@ -230,7 +240,7 @@ def suffix_array(tokens: np.ndarray, host: np.ndarray, page: np.ndarray) -> tupl
         step = max(d for d in ranks if d <= LONG - depth)
         join(depth, step)
         depth += step
-    whole = np.flatnonzero(page[: max(0, n - LONG + 1)] == page[LONG - 1 :]) if n >= LONG else np.zeros(0, np.int64)
+    whole = whole_heads(page)
     order = whole[np.argsort(ranks[LONG][whole], kind="stable")]
     sorted_ranks = ranks[LONG][order]
     return order, np.flatnonzero(np.concatenate([[True], sorted_ranks[1:] != sorted_ranks[:-1]])) if len(order) else np.zeros(0, np.int64)
@@ -266,6 +276,35 @@ def spans(begins: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
+def host_hash(address: str | None) -> int:
+    return xxhash.xxh64_intdigest(host_of(address).encode("utf-8", "surrogatepass"))
+
+
+def parsed(own: pa.Table, trust_markup: bool) -> pa.Table:
+    """What later steps need of the pages: the blocks in scope, whether each is open, and the evidence. A block has no line break."""
+    split = [split_page(page, trust_markup) for page in own["html"].to_pylist()]
+    texts = ["\n".join(t for t, _ in inside) for inside, _ in split], ["".join(str(free) for _, free in inside) for inside, _ in split], ["\n".join(evidence) for _, evidence in split]
+    return pa.table([own["page_id"], own["url"], own["key"], *(pa.array(t, pa.large_string()) for t in texts)], names=["page_id", "url", "key", "inside", "open", "evidence"])
+
+
+class Pages:
+    """A block of pages as ``parsed`` left it: ``split`` as of ``split_page``, the ``tokens`` of all with their ``page`` and ``host``."""
+
+    def __init__(self, value: bytes) -> None:
+        own = unpack_rows(value)
+        self.ids, self.urls, self.keys = own["page_id"].to_pylist(), own["url"].to_pylist(), own["key"].to_numpy().view(np.uint64)
+        texts = zip(*(own[c].to_pylist() for c in ("inside", "open", "evidence")))
+        self.split = [(list(zip(inside.split("\n"), map(int, free))), evidence.split("\n") if evidence else []) for inside, free, evidence in texts]
+        self.tokens, self.size = streams_of(self.split)
+        self.page = np.repeat(np.arange(len(self.size)), self.size)
+        self.hosts = np.array([host_hash(u) for u in self.urls], np.uint64)
+        self.host = np.repeat(self.hosts, self.size)
+
+    def names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the heads at some places."""
+        return tuple(x.view(np.uint64)[places] for x in head_names(self.tokens, self.host))
+
+
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", trust_markup: bool = True) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars``, ``n_open``, ``n_cut``, ``n_repeat`` and ``n_notice`` for every row of ``pages``.
 
@@ -278,8 +317,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     and ``n_cut`` those cut, ``n_repeat`` the tokens of prose that others repeat and ``n_notice`` those cut. Without
     ``trust_markup`` every block of a page is open.
 
-    A suffix array is built for each block of pages of any host, so that a large host is spread like any other. A block
-    sends each different head once to the part of a table that sums the rows up, and gets back those in several rows.
+    A suffix array is built for each block of pages of any host, so that a large host is spread like any other. Of each
+    different head a block first sends a few bits, its cell, to the part of a table that says which cells other blocks
+    have too. A head alone in its cell is no repeat; of the others the block sends the name and the number of rows to
+    the part that sums the rows up, and gets back those in several rows.
 
     Null html counts as empty; a page without main text has the empty text. Rows that repeat a page's url and html are no
     repeats of each other. A null url is a host of its own. An empty table gives no rows; extra columns are ignored.
@@ -287,36 +328,68 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     rows = rows.select("page_id", "url", "html", F.xxhash64("url", "html").alias("key"), F.octet_length("html").alias("size"), F.spark_partition_id().alias("part"))
     id_type = rows.schema["page_id"].dataType.simpleString()
-
-    def host_hash(address: str | None) -> int:
-        return xxhash.xxh64_intdigest(host_of(address).encode("utf-8", "surrogatepass"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different heads of each block's suffix array, its hosts and its pages, for the parts of the table, with the rows of each."""
-        for block, sign, own in in_blocks(batches, STREAM):
-            streams = [stream_of(*split_page(page, trust_markup)) for page in own["html"].to_pylist()]
-            size = np.array([len(x) for x in streams])
-            tokens, page = np.concatenate(streams), np.repeat(np.arange(len(size)), size)
-            hosts = np.array([host_hash(u) for u in own["url"].to_pylist()], np.uint64)
-            host = np.repeat(hosts, size)
-            order, begins = suffix_array(tokens, host, page)
-            first, second = (x[order[begins]].view(np.uint64) for x in head_names(tokens, host))
-            new = np.concatenate([[True], page[order][1:] != page[order][:-1]])
-            new = new[: len(order)]
-            new[begins] = True
-            n = np.add.reduceat(new.astype(np.int64), begins) if len(order) else np.zeros(0, np.int64)
-            for odd, values in enumerate((hosts, own["key"].to_numpy().view(np.uint64))):
-                values, rows_of = np.unique(values, return_counts=True)
-                label = labels(values, odd)
-                first, second, n = (np.concatenate(x) for x in ((first, label), (second, values), (n, rows_of)))
-            by_name = np.argsort(first)
-            first, second, n = first[by_name], second[by_name] & np.uint64(255), n[by_name]
-            bounds = np.searchsorted(part_of(first, parts), np.arange(parts + 1))
-            out = [(p, block, sign, pack_numbers((np.diff(first[a:b], prepend=np.uint64(0)), 8), (second[a:b], 1), (n[a:b], 4)), b - a) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
-            for lo in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[lo : lo + 256]), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["part", "block", "sign", "blob", "n"])
-
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = 1 + total // PART
+    # a page of html has a token for every six or seven bytes: a cell has a head of other blocks in one of a dozen cases
+    shift = np.uint64(max(0, 64 - max(8, (2 * total).bit_length())))
+
+    def dealt(block: int, sign: int, first: np.ndarray, *others: tuple[np.ndarray, int]) -> pa.Table:
+        """Sorted names or cells, and what belongs to them, in a row for each part."""
+        bounds = np.searchsorted(part_of(first, parts), np.arange(parts + 1))
+        kept = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+        blobs = [pack_numbers((np.diff(first[a:b], prepend=np.uint64(0)), 8), *((x[a:b], width) for x, width in others)) for _, a, b in kept]
+        columns = [p for p, _, _ in kept], [block] * len(kept), [sign] * len(kept), blobs, [b - a for _, a, b in kept]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["part", "block", "sign", "blob", "n"])
+
+    def one(left: pa.Table, right: pa.Table | None = None) -> tuple[int, int, Pages]:
+        if len(left) != 1 or (right is not None and not set(right["sign"].to_pylist()) <= set(left["sign"].to_pylist())):
+            raise ValueError("a block of pages was not read alike twice: checkpoint the pages first")
+        return left["block"][0].as_py(), left["sign"][0].as_py(), Pages(left["rows"][0].as_py())
+
+    def ask_cells(left: pa.Table) -> pa.Table:
+        """The cells of the different heads of a block's suffix array."""
+        block, sign, own = one(left)
+        order, begins = suffix_array(own.tokens, own.host, own.page)
+        cells = np.unique(own.names(order[begins])[0] >> shift)
+        return dealt(block, sign, cells << shift)
+
+    def answer_cells(key: tuple, table: pa.Table) -> pa.Table:
+        """To each block, a bit for each of its cells: whether another block has it."""
+        cells = [np.cumsum(Unpacked(blob).take(n, 8), dtype=np.uint64) for blob, n in zip(table["blob"].to_pylist(), table["n"].to_pylist())]
+        _, inverse, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+        shared = np.split(n[inverse.ravel()] > 1, np.cumsum([len(c) for c in cells])[:-1])
+        blobs = [pack_numbers((np.packbits(x).astype(np.uint64), 1)) for x in shared]
+        return pa.table([table["block"], table["part"], table["sign"], pa.array(blobs, pa.binary()), table["n"]], names=["block", "part", "sign", "blob", "n"])
+
+    def ask_names(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The different heads of a block that may be repeats, its hosts and its pages, with the rows of each."""
+        block, sign, own = one(left, right)
+        places = whole_heads(own.page)
+        _, inverse, n_places = np.unique(own.names(places)[0] >> shift, return_inverse=True, return_counts=True)
+        told = [np.zeros(0, bool)]
+        for _, blob, n in sorted(zip(right["part"].to_pylist(), right["blob"].to_pylist(), right["n"].to_pylist())):
+            told.append(np.unpackbits(Unpacked(blob).take((n + 7) // 8, 1).astype(np.uint8), count=n).astype(bool))
+        told = np.concatenate(told)
+        if len(told) != len(n_places):
+            raise ValueError("a block of pages has lost some of its cells' answers")
+        places = places[((n_places > 1) | told)[inverse.ravel()]]
+        first, second = own.names(places)
+        page = own.page[places]
+        order = np.lexsort((page, second, first))
+        first, second, page = first[order], second[order], page[order]
+        head = np.ones(len(first), bool)
+        head[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        new = head.copy()
+        new[1:] |= page[1:] != page[:-1]
+        begins = np.flatnonzero(head)
+        first, second, n = first[begins], second[begins], np.add.reduceat(new.astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+        for odd, values in enumerate((own.hosts, own.keys)):
+            values, rows_of = np.unique(values, return_counts=True)
+            first, second, n = (np.concatenate(x) for x in ((first, labels(values, odd)), (second, values), (n, rows_of)))
+        by_name = np.argsort(first)
+        return dealt(block, sign, first[by_name], (second[by_name] & np.uint64(255), 1), (n[by_name], 4))
+
+    def answer_names(key: tuple, table: pa.Table) -> pa.Table:
         """To each block, those of its heads that several rows have, with the number of rows."""
         names, ends = [], [0]
         for blob, n in zip(table["blob"].to_pylist(), table["n"].to_pylist()):
@@ -336,8 +409,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
         return pa.table([table["block"], table["sign"], pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64())], names=["block", "sign", "blob", "n"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if len(left) != 1 or set(right["sign"].to_pylist()) != set(left["sign"].to_pylist()):
-            raise ValueError("a block of pages was not read alike twice: checkpoint the pages first")
+        _, _, own = one(left, right)
         known = [(np.zeros(0, np.uint64),) * 3]
         for blob, n in zip(right["blob"].to_pylist(), right["n"].to_pylist()):
             source = Unpacked(blob)
@@ -359,27 +431,27 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
                 place = np.where(same & ~hit, place + 1, len(a))
             return n
 
+        of_host, alike = rows_with(labels(own.hosts, 0), own.hosts), rows_with(labels(own.keys, 1), own.keys)
+        others = of_host - alike
+        places = whole_heads(own.page)
+        n, page = rows_with(*own.names(places)), own.page[places]
+        repeated = spans(places[n > alike[page]], len(own.tokens))
+        common = spans(places[(2 * (n - alike[page]) > others[page]) & (others[page] >= OTHERS)], len(own.tokens))
+        bounds = np.cumsum(own.size)[:-1]
         out = []
-        for value in left["rows"].to_pylist():
-            own = unpack_rows(value)
-            hosts, keys = np.array([host_hash(u) for u in own["url"].to_pylist()], np.uint64), own["key"].to_numpy().view(np.uint64)
-            of_host, of_page = rows_with(labels(hosts, 0), hosts), rows_with(labels(keys, 1), keys)
-            for id_, address, page, host, others, alike in zip(own["page_id"].to_pylist(), own["url"].to_pylist(), own["html"].to_pylist(), hosts, (of_host - of_page).tolist(), of_page.tolist()):
-                inside, evidence = split_page(page, trust_markup)
-                tokens = stream_of(inside, evidence)
-                n = rows_with(*(x.view(np.uint64) for x in head_names(tokens, host)))
-                repeated = spans(np.flatnonzero(n > alike), len(tokens))
-                common = spans(np.flatnonzero((2 * (n - alike) > others) & (others >= OTHERS)), len(tokens))
-                out.append((id_, address, *unique_runs(inside, sum(len(t.split()) for t in evidence), repeated, common)))
+        for id_, address, (inside, evidence), r, c in zip(own.ids, own.urls, own.split, np.split(repeated, bounds), np.split(common, bounds)):
+            out.append((id_, address, *unique_runs(inside, sum(len(t.split()) for t in evidence), r, c)))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (kind, pa.string(), pa.string(), *[pa.int64()] * 4))], names=["page_id", "url", "text", *counted])
 
     counted = ["n_open", "n_cut", "n_repeat", "n_notice"]
     kind = to_arrow_type(rows.schema["page_id"].dataType)
-    parts = 1 + (rows.agg(F.sum("size")).first()[0] or 0) // PART
-    # all columns each time: what lies below may deal rows out by them
-    answered = cut(rows.mapInArrow(ask, "part long, block long, sign long, blob binary, n long").groupBy("part").applyInArrow(answer, "block long, sign long, blob binary, n long"))
+    asked, told = "part long, block long, sign long, blob binary, n long", "block long, sign long, blob binary, n long"
+    # one plan, so that the parsed blocks are written once and their exchange is read three times
+    blocks = pack_blocks(rows, STREAM, lambda own: parsed(own, trust_markup)).groupBy("block")
+    cells = blocks.applyInArrow(ask_cells, asked).groupBy("part").applyInArrow(answer_cells, "block long, part long, sign long, blob binary, n long")
+    answered = blocks.cogroup(cells.groupBy("block")).applyInArrow(ask_names, asked).groupBy("part").applyInArrow(answer_names, told)
     shown = f"page_id {id_type}, url string, text string, {', '.join(f'{c} long' for c in counted)}"
-    done = pack_blocks(rows, STREAM).groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, shown)
+    done = blocks.cogroup(answered.groupBy("block")).applyInArrow(finish, shown)
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), *counted)
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -501,6 +502,23 @@ def test_repeats_across_pages_are_removed(spark, monkeypatch, stream):
     assert any(any(c) for c in cover.values())
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written for exchanges."""
+    context = spark.sparkContext
+    jvm = context._jvm
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pages_are_exchanged_in_less_than_their_size(spark):
+    """Heads that one block alone has cross as a few bits each, and the parsed blocks are written once for three readers."""
+    path = "/root/testdata/sf0.1/pages.parquet"
+    before = shuffled_bytes(spark)
+    assert html_text.extract(spark.read.parquet(path)).agg(F.sum("n_repeat")).first()[0] == 45_538
+    written = shuffled_bytes(spark) - before
+    assert written < 1.5 * os.path.getsize(path)
+
+
 def test_hard_pages(spark):
     rows = [(1, "http://a.b/", None), (2, None, ""), (None, "http://a.b/", "<p>x"), (3, "nonsense", PAGE), (3, "nonsense", PAGE), (4, "HTTP://U:p@A.b:80/x", "<script>" + "x" * 200_000), (5, "http://a.b/5", "<div>" * 3000 + "deep"), (6, "", "<p " + "a=\"" * 500)]
     frame = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, html string, text string, key string")
