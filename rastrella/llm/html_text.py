@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
-from .parts import Unpacked, pack_blocks, pack_numbers, part_of, unpack_rows
+from .parts import Unpacked, pack_blocks, pack_cells, pack_numbers, part_of, unpack_cells, unpack_rows
 
 #: A substring of so many tokens that two pages of a host share is boilerplate.
 LONG = 6
@@ -333,11 +333,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     # a page of html has a token for every six or seven bytes: a cell has a head of other blocks in one of a dozen cases
     shift = np.uint64(max(0, 64 - max(8, (2 * total).bit_length())))
 
-    def dealt(block: int, sign: int, first: np.ndarray, *others: tuple[np.ndarray, int]) -> pa.Table:
-        """Sorted names or cells, and what belongs to them, in a row for each part."""
+    def dealt(block: int, sign: int, first: np.ndarray, pack: Callable[[int, int], bytes]) -> pa.Table:
+        """Sorted names or cells in a row for each part; ``pack`` has the bytes between two places."""
         bounds = np.searchsorted(part_of(first, parts), np.arange(parts + 1))
         kept = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
-        blobs = [pack_numbers((np.diff(first[a:b], prepend=np.uint64(0)), 8), *((x[a:b], width) for x, width in others)) for _, a, b in kept]
+        blobs = [pack(a, b) for _, a, b in kept]
         columns = [p for p, _, _ in kept], [block] * len(kept), [sign] * len(kept), blobs, [b - a for _, a, b in kept]
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["part", "block", "sign", "blob", "n"])
 
@@ -351,11 +351,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
         block, sign, own = one(left)
         order, begins = suffix_array(own.tokens, own.host, own.page)
         cells = np.unique(own.names(order[begins])[0] >> shift)
-        return dealt(block, sign, cells << shift)
+        return dealt(block, sign, cells << shift, lambda a, b: pack_cells(cells[a:b]))
 
     def answer_cells(key: tuple, table: pa.Table) -> pa.Table:
         """To each block, a bit for each of its cells: whether another block has it."""
-        cells = [np.cumsum(Unpacked(blob).take(n, 8), dtype=np.uint64) for blob, n in zip(table["blob"].to_pylist(), table["n"].to_pylist())]
+        cells = [unpack_cells(blob, n) for blob, n in zip(table["blob"].to_pylist(), table["n"].to_pylist())]
         _, inverse, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
         shared = np.split(n[inverse.ravel()] > 1, np.cumsum([len(c) for c in cells])[:-1])
         blobs = [pack_numbers((np.packbits(x).astype(np.uint64), 1)) for x in shared]
@@ -387,7 +387,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
             values, rows_of = np.unique(values, return_counts=True)
             first, second, n = (np.concatenate(x) for x in ((first, labels(values, odd)), (second, values), (n, rows_of)))
         by_name = np.argsort(first)
-        return dealt(block, sign, first[by_name], (second[by_name] & np.uint64(255), 1), (n[by_name], 4))
+        first, second, n = first[by_name], second[by_name] & np.uint64(255), n[by_name]
+        return dealt(block, sign, first, lambda a, b: pack_numbers((np.diff(first[a:b], prepend=np.uint64(0)), 8), (second[a:b], 1), (n[a:b], 4)))
 
     def answer_names(key: tuple, table: pa.Table) -> pa.Table:
         """To each block, those of its heads that several rows have, with the number of rows."""
@@ -447,7 +448,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     kind = to_arrow_type(rows.schema["page_id"].dataType)
     asked, told = "part long, block long, sign long, blob binary, n long", "block long, sign long, blob binary, n long"
     # one plan, so that the parsed blocks are written once and their exchange is read three times
-    blocks = pack_blocks(rows, STREAM, lambda own: parsed(own, trust_markup)).groupBy("block")
+    blocks = pack_blocks(rows, STREAM, lambda own: parsed(own, trust_markup), level=6).groupBy("block")
     cells = blocks.applyInArrow(ask_cells, asked).groupBy("part").applyInArrow(answer_cells, "block long, part long, sign long, blob binary, n long")
     answered = blocks.cogroup(cells.groupBy("block")).applyInArrow(ask_names, asked).groupBy("part").applyInArrow(answer_names, told)
     shown = f"page_id {id_type}, url string, text string, {', '.join(f'{c} long' for c in counted)}"

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rastrella.llm import html_text, language_id, perplexity, token_files, toxicity
+from rastrella.llm import html_text, language_id, parts, perplexity, token_files, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
@@ -510,6 +510,16 @@ def shuffled_bytes(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
+def test_cells_round_trip():
+    rng = np.random.default_rng(5)
+    for n, high in ((1, 2**63), (2, 2**63), (5, 6), (1000, 1001), (50_000, 2**29), (3, 2)):
+        values = np.unique(rng.integers(0, high, n).astype(np.uint64) << np.uint64(1))
+        blob = parts.pack_cells(values)
+        assert (parts.unpack_cells(blob, len(values)) == values).all()
+    values = np.unique(rng.integers(0, 2**29, 50_000).astype(np.uint64))
+    assert 8 * len(parts.pack_cells(values)) < (np.log2(2**29 / 50_000) + 1.6) * len(values)
+
+
 def test_pages_are_exchanged_in_less_than_their_size(spark):
     """Heads that one block alone has cross as a few bits each, and the parsed blocks are written once for three readers."""
     path = "/root/testdata/sf0.1/pages.parquet"
