@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -155,6 +156,25 @@ def test_pairs_of_rare_words_count_in_every_part(spark, monkeypatch):
     assert (perplexity.build_model(frame.select("lang", "text"))["x"]["pairs"] == pairs).all()
 
 
+def test_requests_for_pairs_are_small_and_read_back():
+    """A pair that a block asks for costs less than five bytes; it had seven and more. Things in many contexts read back, too."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{x}" for x in range(20_000)]
+    texts = [" ".join(vocabulary[i] for i in np.minimum(rng.zipf(1.3, 400), 20_000) - 1) for _ in range(300)]
+    words = perplexity.Words(texts)
+    asked = perplexity.Asked(words, 1)
+    asked.ids = np.argsort(np.argsort(-np.bincount(asked.at), kind="stable"), kind="stable")
+    pairs = perplexity.Pairs(words, asked, 1, np.zeros(0, np.uint64))
+    seen = pairs.see(words)
+    (_, *bounds), = pairs.bounds
+    firsts, far, n, blob = pairs.request(seen, *bounds)
+    assert n == len({(a, b) for t in texts for a, b in zip(t.split(), t.split()[1:])}) and len(blob) < 5 * n
+    part = perplexity.PairPart(pa.table({"firsts": [firsts], "far": [far], "pairs": [n], "blob": pa.array([blob], pa.binary())}))
+    counts = Counter((asked.ids[a], asked.ids[b]) for a, b in zip(pairs.first[pairs.pair], pairs.second[pairs.pair]))
+    assert seen.number.max() > perplexity.MANY and (part.seen.tags == seen.tags).all()
+    assert {(a, b): k for a, b, k in zip((part.keys[part.first] // 2).tolist(), part.second.tolist(), (part.k[0] + part.k[1]).tolist())} == dict(counts)
+
+
 def test_near_copies_share_a_half():
     rng = np.random.default_rng(1)
     texts = []
